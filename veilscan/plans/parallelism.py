@@ -1,0 +1,21 @@
+"""Use of all cores on inputs that are too small to be split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a batch input that fits in one scan task out over all cores.
+
+    Only an input under ``spark.sql.files.maxPartitionBytes`` (128 MB unless set) is shuffled. A
+    larger one is left as it is read, without any shuffle.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    to_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    one_task = to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= one_task:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
