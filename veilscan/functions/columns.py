@@ -59,3 +59,40 @@ def utf8_slice(data: Column, start: Column, end: Column) -> Column:
             piece.cast("string"),
         ).otherwise(F.lit("")),
     )
+
+
+def running_sum(values: Column, block: int = 64) -> Column:
+    """Running sum of an array of ints: the sum up to and with each element.
+
+    A fold that appends copies its array on every step, so sums run within blocks, and one short
+    fold over the blocks gives where each begins.
+    """
+
+    def sums(start: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.array(start),
+            lambda acc, value: F.array_append(acc, F.element_at(acc, -1) + value),
+        )
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(
+            blocks, lambda part: F.aggregate(part, F.lit(0), lambda acc, value: acc + value)
+        )
+        return let(
+            sums(F.lit(0), totals),
+            lambda starts: F.flatten(
+                F.transform(
+                    blocks, lambda part, k: F.slice(sums(F.get(starts, k), part), 2, block)
+                )
+            ),
+        )
+
+    last = F.floor((F.size(values) - F.lit(1)) / F.lit(block)).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.slice(values, k * F.lit(block) + F.lit(1), F.lit(block)),
+    )
+    return F.when(F.size(values) > 0, let(blocks, of_blocks)).otherwise(
+        F.array().cast("array<int>")
+    )

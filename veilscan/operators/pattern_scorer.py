@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilscan.functions.columns import let
+from veilscan.functions.columns import let, running_sum
 
 OUTSIDE = "O"
 
@@ -129,18 +129,13 @@ class PatternScorer:
             )
 
         def placed(parts: Column) -> Column:
-            starts = F.aggregate(
-                parts,
-                F.array(F.lit(0)),
-                lambda acc, part: F.array_append(
-                    acc, F.element_at(acc, -1) + F.octet_length(part.text)
-                ),
-            )
             return let(
-                starts,
-                lambda at: F.transform(
+                running_sum(F.transform(parts, lambda part: F.octet_length(part.text))),
+                lambda ends: F.transform(
                     parts,
-                    lambda part, i: _token(F.get(at, i), F.get(at, i + F.lit(1)), part["is"]),
+                    lambda part, i: _token(
+                        F.get(ends, i) - F.octet_length(part.text), F.get(ends, i), part["is"]
+                    ),
                 ),
             )
 

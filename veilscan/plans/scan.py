@@ -150,10 +150,10 @@ class Scanner:
 
 def gate_table(df: DataFrame, text_col: str, ids: Sequence[str], settings: Settings) -> DataFrame:
     """Rows of a text table with the verdict of the size and the empty gate."""
-    text = F.col(text_col)
+    text = F.col("text")
     size = F.octet_length(text).cast("bigint")
     gated = compute_once(
-        df.select(*ids, text.alias("text")).filter(text.isNotNull()),
+        df.select(*ids, F.col(text_col).alias("text")).filter(text.isNotNull()),
         file_size_bytes=size,
         error=gate_message(text, size, settings),
     )
