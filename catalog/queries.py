@@ -158,7 +158,8 @@ def _scan_pages(spark, sf_dir, scanner=SCANNER):
 
 def _orders(spark, sf_dir, **columns: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", *[F.expr(e).alias(n) for n, e in columns.items()])
+    derived = orders.select("o_orderkey", *[F.expr(e).alias(n) for n, e in columns.items()])
+    return spread_small(derived)
 
 
 def _flat(results: DataFrame, key: str) -> DataFrame:

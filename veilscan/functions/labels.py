@@ -73,9 +73,9 @@ def distinct_labels(labels: Column) -> Column:
     """Distinct ignoring case; the first spelling wins and the order is kept."""
     return let(
         F.transform(labels, F.lower),
-        lambda lowered: F.filter(
-            labels,
-            lambda label, i: F.array_position(lowered, F.get(lowered, i)) == i + F.lit(1),
+        lambda lowered: F.transform(
+            F.array_distinct(lowered),
+            lambda key: F.get(labels, F.array_position(lowered, key).cast("int") - F.lit(1)),
         ),
     )
 

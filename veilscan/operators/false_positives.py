@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,13 +117,16 @@ def fails_valid(rule: FalsePositiveRule, value: Column) -> Column:
     return F.lit(False) if rule.valid is None else ~value.rlike("(?d)" + rule.valid)
 
 
-def by_label(label: Column, verdict, rules: Sequence[FalsePositiveRule]) -> Column:
+def by_label(
+    label: Column,
+    verdict: Callable[[FalsePositiveRule], Column],
+    rules: Sequence[FalsePositiveRule],
+) -> Column:
     """``verdict(rule)`` of the label's rule, false for a label without one."""
-    key = F.lower(label)
-    result = F.lit(False)
+    chosen = F
     for rule in rules:
-        result = F.when(key == rule.label, verdict(rule)).otherwise(result)
-    return result
+        chosen = chosen.when(F.lower(label) == rule.label, verdict(rule))
+    return chosen.otherwise(False) if rules else F.lit(False)
 
 
 def is_false_positive(
@@ -130,15 +135,18 @@ def is_false_positive(
     score: Column,
     rules: Sequence[FalsePositiveRule] = DEFAULT_RULES,
 ) -> Column:
+    def rejects(rule: FalsePositiveRule, lowered: Column) -> Column:
+        parts = [
+            rule.min_confidence is not None and under_confidence(rule, score),
+            rule.exact and is_stop_word(rule, lowered),
+            rule.patterns and matches_reject(rule, lowered),
+            rule.valid is not None and fails_valid(rule, value),
+        ]
+        given = [part for part in parts if isinstance(part, Column)]
+        return reduce(or_, given) if given else F.lit(False)
+
     # Rules are literals of the plan, so each pattern is compiled once per task.
     return let(
         F.lower(trim_space(value)),
-        lambda lowered: by_label(
-            label,
-            lambda rule: under_confidence(rule, score)
-            | is_stop_word(rule, lowered)
-            | matches_reject(rule, lowered)
-            | fails_valid(rule, value),
-            rules,
-        ),
+        lambda lowered: by_label(label, lambda rule: rejects(rule, lowered), rules),
     )

@@ -88,15 +88,12 @@ class PatternScorer:
     def vocabulary(self) -> list[str]:
         return list(dict.fromkeys(rule.label for rule in self.rules))
 
-    def _verdict(self, text: Column) -> Column:
-        """Label and score of a match: those of the first rule that describes all of it."""
-        verdict = F.lit(None).cast("struct<label:string,score:float>")
-        for rule in reversed(self.rules):
-            found = F.struct(
-                F.lit(rule.label).alias("label"), F.lit(rule.score).cast("float").alias("score")
-            )
-            verdict = F.when(text.rlike(rf"\A(?:{rule.pattern})\z"), found).otherwise(verdict)
-        return verdict
+    def _rule_of(self, hit: Column) -> Column:
+        """Number of the rule that found a match: the first that describes all of it."""
+        found = F
+        for number, rule in enumerate(self.rules):
+            found = found.when(hit.rlike(rf"\A(?:{rule.pattern})\z"), number)
+        return found
 
     def _search(self, text: Column, search: Callable[[str], Column]) -> Column:
         """Search for all rules, or only for those that the text can have a match of."""
@@ -116,49 +113,52 @@ class PatternScorer:
         every offset. Text without a match is searched once and is a single ``O`` token.
         """
 
-        def alternate(hits: Column) -> Column:
-            gaps = self._search(text, lambda pattern: F.split(text, pattern, -1))
-            return F.flatten(
-                F.zip_with(
-                    F.transform(gaps, lambda gap: F.struct(gap.alias("text"), _outside().alias("is"))),
-                    F.transform(
-                        hits, lambda hit: F.struct(hit.alias("text"), self._verdict(hit).alias("is"))
+        labels = F.lit([rule.label for rule in self.rules])
+        scores = F.lit([rule.score for rule in self.rules]).cast("array<float>")
+
+        def placed(gaps: Column, hits: Column) -> Column:
+            parts = F.zip_with(gaps, hits, lambda gap, hit: F.array(gap, hit))
+            sizes = F.transform(F.flatten(parts), lambda part: F.octet_length(part))
+            return let(
+                running_sum(F.filter(sizes, lambda size: size.isNotNull())),
+                lambda ends: F.filter(
+                    F.flatten(
+                        F.transform(
+                            gaps, lambda _, k: F.array(gap_token(ends, k), hit_token(ends, hits, k))
+                        )
                     ),
-                    lambda gap, hit: F.filter(F.array(gap, hit), lambda part: part.isNotNull()),
-                )
+                    # No match follows the last gap.
+                    lambda token: token.end.isNotNull(),
+                ),
             )
 
-        def placed(parts: Column) -> Column:
+        # Gap k ends the 2k-th stretch of the text, and hit k the one after it.
+        def gap_token(ends: Column, k: Column) -> Column:
+            return _token(F.coalesce(F.get(ends, k * 2 - 1), F.lit(0)), F.get(ends, k * 2))
+
+        def hit_token(ends: Column, hits: Column, k: Column) -> Column:
             return let(
-                running_sum(F.transform(parts, lambda part: F.octet_length(part.text))),
-                lambda ends: F.transform(
-                    parts,
-                    lambda part, i: _token(
-                        F.get(ends, i) - F.octet_length(part.text), F.get(ends, i), part["is"]
-                    ),
+                self._rule_of(F.get(hits, k)),
+                lambda n: _token(
+                    F.get(ends, k * 2), F.get(ends, k * 2 + 1), F.get(labels, n), F.get(scores, n)
                 ),
             )
 
+        gaps = self._search(text, lambda pattern: F.split(text, pattern, -1))
         return let(
             self._search(text, lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
-            lambda hits: F.when(F.size(hits) == 0, _one_token(text)).otherwise(
-                let(alternate(hits), placed)
-            ),
+            lambda hits: F.when(
+                F.size(hits) == 0, F.array(_token(F.lit(0), F.octet_length(text)))
+            ).otherwise(let(gaps, lambda g: placed(g, hits))),
         )
 
 
-def _outside() -> Column:
-    return F.struct(F.lit(OUTSIDE).alias("label"), F.lit(1.0).cast("float").alias("score"))
-
-
-def _token(start: Column, end: Column, verdict: Column) -> Column:
+def _token(
+    start: Column, end: Column, label: Column | None = None, score: Column | None = None
+) -> Column:
     return F.struct(
         start.alias("start"),
         end.alias("end"),
-        verdict.label.alias("label"),
-        verdict.score.alias("score"),
+        (F.lit(OUTSIDE) if label is None else label).alias("label"),
+        (F.lit(1.0).cast("float") if score is None else score).alias("score"),
     )
-
-
-def _one_token(text: Column) -> Column:
-    return F.array(_token(F.lit(0), F.octet_length(text), _outside()))
