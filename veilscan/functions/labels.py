@@ -63,29 +63,30 @@ def find_profile(name: str) -> str | None:
 def profile_column(name: Column) -> Column:
     """Profile of a name, ignoring case and surrounding space; NULL if there is none."""
     key = F.lower(trim_space(name))
-    profile = F.lit(None).cast("string")
-    for known, target in _PROFILE_OF.items():
-        profile = F.when(key == known, F.lit(target)).otherwise(profile)
-    return profile
+    names = F.create_map(*[F.lit(part) for pair in _PROFILE_OF.items() for part in pair])
+    return F.try_element_at(names, key)
 
 
 def distinct_labels(labels: Column) -> Column:
     """Distinct ignoring case; the first spelling wins and the order is kept."""
-    return let(
-        F.transform(labels, F.lower),
-        lambda lowered: F.transform(
+    def first_spellings(spelled: Column, lowered: Column) -> Column:
+        return F.transform(
             F.array_distinct(lowered),
-            lambda key: F.get(labels, F.array_position(lowered, key).cast("int") - F.lit(1)),
+            lambda key: F.get(spelled, F.array_position(lowered, key).cast("int") - F.lit(1)),
+        )
+
+    return let(
+        labels,
+        lambda spelled: let(
+            F.transform(spelled, F.lower), lambda lowered: first_spellings(spelled, lowered)
         ),
     )
 
 
 def pack_column(profile: Column) -> Column:
     """The labels of a profile as an array."""
-    pack = F.lit(None).cast("array<string>")
-    for name, labels in LABEL_PACKS.items():
-        pack = F.when(profile == name, F.lit(labels)).otherwise(pack)
-    return pack
+    packs = [part for name, labels in LABEL_PACKS.items() for part in (F.lit(name), F.lit(labels))]
+    return F.try_element_at(F.create_map(*packs), profile)
 
 
 def resolve_labels_column(
