@@ -21,11 +21,11 @@ def test_landing_directory(spark, tmp_path):
     land("b.log", "10.0.0.1 and é")
     land("empty.md", "")
     found = run()
-    # Every file once, and each as in a batch.
-    expected = scan_directory(spark, landing, scanner=scanner)
+    # Every file once, and each as in a batch. A stream does not see files without a byte.
+    expected = scan_directory(spark, landing, scanner=scanner).filter("file_size_bytes > 0")
     columns = expected.columns
     assert sorted(found.select(columns).collect(), key=repr) == sorted(expected.collect(), key=repr)
-    assert found.count() == 4
+    assert found.count() == 3
 
 
 def test_table_stream_is_lazy(spark, tmp_path):

@@ -105,7 +105,7 @@ def _scoring_udf(make_tokenizer, make_model, activation: str, batch_size: int):
                 dtype=object,
             )
 
-    return F.pandas_udf(score, _RAW, F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(score, _RAW)
 
 
 def onnx_model(path: str, providers: Sequence[str] = ("CPUExecutionProvider",)):
