@@ -48,4 +48,4 @@ def test_counts_are_combined_before_the_shuffle(spark):
 def test_model_scan_collects_by_document(spark):
     text = plan(queries.q_model_scan(spark, SF_DIR))
     assert "ObjectHashAggregate" in text or "SortAggregate" in text
-    assert "partial_collect_list" in text
+    assert "partial_collect_set" in text

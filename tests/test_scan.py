@@ -101,6 +101,21 @@ def test_model_scorer_keeps_every_document(spark, spread):
     assert starts == sorted(starts) and rows[0].pii_count == len(starts) > 5
 
 
+def test_model_scorer_keeps_copies(spark):
+    rows = [(1, "some words")] * 500 + [(1, "other words here")] * 3 + [(1, "")] * 2 + [(2, "some words")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    scanner = Scanner(labels=(), settings=Settings(max_chunk_size=8), scorer=toy_model(), filters=False)
+    results = scan_table(df, "t", "id", scanner)
+    counts = {tuple(r) for r in results.groupBy("id", "file_size_bytes", "status").count().collect()}
+    assert counts == {
+        (1, 10, "success", 500), (1, 16, "success", 3), (1, 0, "skipped", 2), (2, 10, "success", 1),
+    }
+    found = {(r.id, r.file_size_bytes, str(r.entities), r.chunks_processed) for r in results.collect()}
+    assert len(found) == 4 and {f[2] for f in found if f[1] == 10} == {
+        f[2] for f in found if f[:2] == (2, 10)
+    }
+
+
 def test_scan_of_a_large_input_does_not_shuffle(spark):
     df = documents(spark, ["a"])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")

@@ -1,3 +1,6 @@
+import pytest
+
+from catalog.queries import toy_model
 from veilscan import Scanner, scan_directory, scan_stream
 from veilscan.plans.scan import scan_table
 
@@ -32,3 +35,19 @@ def test_table_stream_is_lazy(spark, tmp_path):
     spark.createDataFrame([(1, "x@y.org")], "id int, t string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, t string").parquet(str(tmp_path / "in"))
     assert scan_table(stream, "t", "id").isStreaming
+
+
+def test_model_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("some words")
+    scanner = Scanner(labels=(), scorer=toy_model(), filters=False)
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    scan_stream(spark, landing, out, checkpoint, scanner).awaitTermination()
+    (tmp_path / "in" / "b.txt").write_text("more words")
+    scan_stream(spark, landing, out, checkpoint, scanner).awaitTermination()
+    expected = scan_directory(spark, landing, scanner=scanner)
+    found = spark.read.parquet(out).select(expected.columns)
+    assert sorted(found.collect(), key=repr) == sorted(expected.collect(), key=repr)
+    stream = spark.readStream.schema("id int, t string").parquet(landing)
+    with pytest.raises(ValueError, match="scan_stream"):
+        scan_table(stream, "t", "id", scanner)

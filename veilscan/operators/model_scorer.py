@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilscan.functions.columns import let
+
 Window = tuple[Sequence[int], Sequence[int], Sequence[int], Sequence[tuple[int, int]]]
 
-_RAW = "array<struct<start:int,end:int,idx:int,score:float>>"
+_SCORED = "start array<int>, end array<int>, idx array<int>, score array<float>"
 _ACTIVATIONS = ("none", "sigmoid", "softmax")
 
 
@@ -42,13 +44,16 @@ class ModelScorer:
         """``array<struct<start, end, label, score>>`` of each chunk; NULL text gives no tokens."""
         score = _scoring_udf(self.make_tokenizer, self.make_model, self.activation, batch_size)
         names = F.lit(list(self.vocabulary))
-        return F.transform(
+        return let(
             score(text),
-            lambda token: F.struct(
-                token.start.alias("start"),
-                token.end.alias("end"),
-                F.get(names, token.idx).alias("label"),
-                token.score.alias("score"),
+            lambda scored: F.transform(
+                scored.start,
+                lambda start, i: F.struct(
+                    start.alias("start"),
+                    F.get(scored.end, i).alias("end"),
+                    F.get(names, F.get(scored.idx, i)).alias("label"),
+                    F.get(scored.score, i).alias("score"),
+                ),
             ),
         )
 
@@ -74,38 +79,53 @@ def _scoring_udf(make_tokenizer, make_model, activation: str, batch_size: int):
         idx = scores.argmax(axis=-1)
         return idx, np.take_along_axis(scores, idx[..., None], axis=-1)[..., 0]
 
-    def score_windows(model, windows: list[Window]) -> Iterator[list[tuple]]:
-        for at in range(0, len(windows), batch_size):
-            ids, masks, types, offsets = zip(*windows[at : at + batch_size])
-            type_ids = padded(types)
-            logits = model(padded(ids), padded(masks), type_ids if type_ids.any() else None)
-            idx, score = best(activate(np.asarray(logits, dtype=np.float32)))
-            for row, (mask, spans) in enumerate(zip(masks, offsets)):
-                yield [
-                    (int(start), int(end), int(idx[row, i]), float(score[row, i]))
-                    for i, (start, end) in enumerate(spans)
-                    if mask[i]
-                ]
-
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score_windows(model, windows: list[Window]) -> Iterator[list[np.ndarray]]:
+        """The columns of the result for each window of one model run, without padding."""
+        ids, masks, types, offsets = zip(*windows)
+        type_ids = padded(types)
+        logits = model(padded(ids), padded(masks), type_ids if type_ids.any() else None)
+        idx, score = best(activate(np.asarray(logits, dtype=np.float32)))
+        for row, (mask, spans) in enumerate(zip(masks, offsets)):
+            used = np.asarray(mask, dtype=bool)
+            at = np.asarray(spans, dtype=np.int32).reshape(-1, 2)[used]
+            here = slice(len(used))
+            yield [at[:, 0], at[:, 1], idx[row, here][used], score[row, here][used]]
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenize, model = make_tokenizer(), make_model()
         for texts in batches:
-            # Windows of all chunks of an Arrow batch are scored together, in order.
-            windows, counts = [], []
-            for text in texts:
-                of_text = [] if text is None else tokenize(text)
-                windows += of_text
-                counts.append(None if text is None else len(of_text))
-            scored = score_windows(model, windows)
-            yield pd.Series(
-                [
-                    None if n is None else [token for _ in range(n) for token in next(scored)]
-                    for n in counts
-                ],
-                dtype=object,
+            # Windows of neighbouring chunks share model runs. Only those of one run are held.
+            found = [None if text is None else [] for text in texts]
+            waiting: list[tuple[int, Window]] = []
+
+            def run():
+                if waiting:
+                    rows, windows = zip(*waiting)
+                    for row, columns in zip(rows, score_windows(model, windows)):
+                        found[row].append(columns)
+                    waiting.clear()
+
+            for row, text in enumerate(texts):
+                for window in () if text is None else tokenize(text):
+                    waiting.append((row, window))
+                    if len(waiting) == batch_size:
+                        run()
+            run()
+            yield pd.DataFrame(
+                {
+                    name: [
+                        None
+                        if windows is None
+                        else np.concatenate([w[i] for w in windows] or [np.empty(0, dtype)])
+                        for windows in found
+                    ]
+                    for i, (name, dtype) in enumerate(
+                        [("start", "i4"), ("end", "i4"), ("idx", "i4"), ("score", "f4")]
+                    )
+                }
             )
 
-    return F.pandas_udf(score, _RAW)
+    return F.pandas_udf(score, _SCORED)
 
 
 def onnx_model(path: str, providers: Sequence[str] = ("CPUExecutionProvider",)):

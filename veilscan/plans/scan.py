@@ -110,20 +110,39 @@ class Scanner:
         )
 
     def _scan_chunk_rows(self, documents: DataFrame, ids: Sequence[str]) -> DataFrame:
-        carried = [*ids, "status", "file_size_bytes", "error"]
-        scored = self.score_chunks(documents, carried)
+        if documents.isStreaming:
+            raise ValueError("A model scans a stream batch by batch; use scan_stream")
+        # A group is one document: its ids, its text, and the partition it was read in. Should the
+        # ids not tell rows apart, copies of a row meet only within their partition, where equal
+        # chunks fold into one and their number is kept, so that no group outgrows a document.
+        carried = [*ids, "status", "file_size_bytes", "error", "_text_hash", "_partition"]
+        marked = documents.select(
+            "*",
+            F.xxhash64("text").alias("_text_hash"),
+            F.spark_partition_id().alias("_partition"),
+        )
+        scored = self.score_chunks(marked, carried)
         entities = compute_once(
-            scored.select(*carried, "chunk_idx", "offset", "text", "tokens"),
-            entities=self._decode(F.col("tokens"), F.col("text"), F.col("offset")),
-        ).select(
-            *carried,
-            F.when(F.col("chunk_idx").isNotNull(), F.struct("chunk_idx", "entities")).alias("part"),
+            scored, entities=self._decode(F.col("tokens"), F.col("text"), F.col("offset"))
+        )
+        # Skipped documents have one row without a chunk; NULL is not collected.
+        part = F.when(F.col("chunk_idx").isNotNull(), F.struct("chunk_idx", "entities"))
+        gathered = entities.groupBy(*carried).agg(
+            F.sort_array(F.collect_set(part)).alias("parts"),
+            F.count_if(F.coalesce("chunk_idx", F.lit(0)) == 0).alias("copies"),
         )
-        # One group is one document. Chunks without text (skipped documents) leave a NULL part,
-        # which is not collected, so every document keeps its row.
-        gathered = entities.groupBy(*carried).agg(F.sort_array(F.collect_list("part")).alias("parts"))
-        found = gathered.withColumn(
-            "entities", F.flatten(F.transform("parts", lambda part: part.entities))
+        # A model that does not repeat itself exactly leaves several versions of a chunk of copies.
+        whole = gathered.withColumn(
+            "parts",
+            F.filter(
+                "parts",
+                lambda p, i: F.coalesce(
+                    F.get(F.col("parts"), i - F.lit(1)).chunk_idx != p.chunk_idx, F.lit(True)
+                ),
+            ),
+        )
+        found = compute_once(
+            whole, entities=F.flatten(F.transform("parts", lambda part: part.entities))
         )
         return found.select(
             *ids,
@@ -133,7 +152,8 @@ class Scanner:
             "file_size_bytes",
             F.size("parts").alias("chunks_processed"),
             "error",
-        )
+            F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
+        ).drop("_copy")
 
     def score_chunks(self, documents: DataFrame, carried: Sequence[str]) -> DataFrame:
         """Chunk rows with the tokens of the model scorer."""

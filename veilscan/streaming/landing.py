@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veilscan import schemas
 from veilscan.operators.gates import text_glob
+from veilscan.operators.model_scorer import ModelScorer
 from veilscan.plans.scan import Scanner
 from veilscan.sources.files import scan_files
 
@@ -50,6 +51,22 @@ def scan_stream(
     recursive: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Scan every file that lands in a directory by itself and append its result."""
+    """Scan every file that lands in a directory by itself and append its result.
+
+    Files without a byte are not seen by a stream. With a model scorer each micro-batch is scanned
+    as a table and replaces its own ``batch_id`` directory, so a repeated batch writes nothing twice.
+    """
     files = landing_files(spark, landing, recursive)
-    return write_stream(scan_files(files, scanner), directory, checkpoint, trigger)
+    if not isinstance(scanner.scorer, ModelScorer):
+        return write_stream(scan_files(files, scanner), directory, checkpoint, trigger)
+
+    def scan_batch(batch: DataFrame, batch_id: int) -> None:
+        results = scan_files(batch, scanner)
+        results.write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
+
+    return (
+        files.writeStream.foreachBatch(scan_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
