@@ -68,12 +68,12 @@ class PieceScorer:
             )
 
         def token(piece: Column, end: Column) -> Column:
-            size = F.octet_length(piece)
+            size, first = F.octet_length(piece), F.ascii(F.lower(piece))
             label = (
-                F.when(piece.rlike("^[a-gA-G]"), "person")
-                .when(piece.rlike("^[h-nH-N]"), "email")
-                .when(piece.rlike("^[o-tO-T]"), "date")
-                .when(piece.rlike("^[!-~]"), "O")
+                F.when(first.between(ord("a"), ord("g")), "person")
+                .when(first.between(ord("h"), ord("n")), "email")
+                .when(first.between(ord("o"), ord("t")), "date")
+                .when(first.between(ord("!"), ord("~")), "O")
                 .when(size > 1, "person")
             )
             score = F.when(size == 1, 0.2).when(size == 2, 0.55).otherwise(0.9).cast("float")

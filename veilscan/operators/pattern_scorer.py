@@ -72,18 +72,29 @@ DEFAULT_RULES = (
 
 
 def search_pattern(rules: Sequence[PatternRule]) -> str:
-    """One regex that finds the first rule to match; neighbours with one start share its test."""
+    """One regex that finds the first rule to match.
+
+    Neighbours with the same start share its test, and if all rules have one, a position where none
+    of them holds is passed over at once.
+    """
     groups = []
     for starts, group in groupby(rules, key=lambda rule: rule.starts):
         one_of = "|".join(f"(?:{rule.pattern})" for rule in group)
         groups.append(f"(?={starts})(?:{one_of})" if starts else one_of)
-    return "|".join(groups)
+    pattern = "|".join(groups)
+    if all(rule.starts for rule in rules):
+        starts = "|".join(dict.fromkeys(rule.starts for rule in rules))
+        return f"(?={starts})(?:{pattern})"
+    return pattern
 
 
 @dataclass(frozen=True)
 class PatternScorer:
     rules: tuple[PatternRule, ...] = DEFAULT_RULES
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "rules", tuple(self.rules))
+
     @property
     def vocabulary(self) -> list[str]:
         return list(dict.fromkeys(rule.label for rule in self.rules))

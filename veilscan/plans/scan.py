@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ class Scanner:
     # Deal chunk rows out over this many tasks before a model sees them; None leaves them in place.
     spread_chunks: int | None = None
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "labels", tuple(self.labels))
+        object.__setattr__(self, "rules", tuple(self.rules))
+
     @staticmethod
     def for_request(
         labels: Sequence[str] | None = None,
@@ -83,21 +88,10 @@ class Scanner:
         return self._scan_in_row(documents, ids)
 
     def _scan_in_row(self, documents: DataFrame, ids: Sequence[str]) -> DataFrame:
-        none = F.array().cast(f"array<{schemas.CHUNK}>")
-        chunked = compute_once(
-            documents,
-            chunks=F.when(
-                F.col("status") == "success", chunk_text(F.col("text"), self.settings.max_chunk_size)
-            ).otherwise(none),
-        )
+        chunks, entities = _in_row_columns(self, documents.sparkSession._jvm)
+        chunked = compute_once(documents, chunks=chunks)
         scanned = compute_once(
-            chunked.select(*ids, "status", "chunks", "file_size_bytes", "error"),
-            entities=F.flatten(
-                F.transform(
-                    "chunks",
-                    lambda c: self._decode(self.scorer.tokens(c.text), c.text, c.offset),
-                )
-            ),
+            chunked.select(*ids, "status", "chunks", "file_size_bytes", "error"), entities=entities
         )
         return scanned.select(
             *ids,
@@ -168,6 +162,26 @@ class Scanner:
         )
 
 
+@lru_cache(maxsize=64)
+def _in_row_columns(scanner: Scanner, jvm) -> tuple[Column, Column]:
+    """Chunks of ``text`` and entities of ``chunks``.
+
+    They depend on the scanner alone, and are large enough that it pays to build them only once for
+    all scans of a session's JVM.
+    """
+    none = F.array().cast(f"array<{schemas.CHUNK}>")
+    chunks = F.when(
+        F.col("status") == "success", chunk_text(F.col("text"), scanner.settings.max_chunk_size)
+    ).otherwise(none)
+    entities = F.flatten(
+        F.transform(
+            "chunks",
+            lambda c: scanner._decode(scanner.scorer.tokens(c.text), c.text, c.offset),
+        )
+    )
+    return chunks, entities
+
+
 def gate_table(df: DataFrame, text_col: str, ids: Sequence[str], settings: Settings) -> DataFrame:
     """Rows of a text table with the verdict of the size and the empty gate."""
     text = F.col("text")
