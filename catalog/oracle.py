@@ -580,7 +580,7 @@ WHERE label NOT IN ({quoted(sorted({label for label, _, _ in PATTERNS}))}) GROUP
                                        size=1000, filters=False, tokens=MODEL_TOKENS)}
 SELECT id AS doc_id, label, s AS span_start, e AS span_end,
        CAST(round(score * 1000) AS INTEGER) AS score_mille FROM entities"""
-    out["scan_path"] = f"""{scan_ctes("documents", "doc_id", "text")}
+    out["scan_path"] = f"""{scan_ctes("documents", "doc_id", "text", size=2_000_000_000)}
 SELECT label, count(*) AS entities FROM entities GROUP BY label"""
     out["write_results"] = f"""{page_results}
 SELECT count(*) AS total_files,

@@ -52,6 +52,7 @@ from veilscan.sources.sinks import result_json
 from veilscan.streaming.landing import write_stream
 
 SCANNER = Scanner.for_request(log=True)
+WHOLE_FILE = 2_000_000_000
 SMALL_PAGES = Scanner.for_request(log=True, overrides={"max_file_size_mb": 0.01})
 
 
@@ -68,22 +69,29 @@ class PieceScorer:
             )
 
         def token(piece: Column, end: Column) -> Column:
-            size, first = F.octet_length(piece), F.ascii(F.lower(piece))
-            label = (
-                F.when(first.between(ord("a"), ord("g")), "person")
-                .when(first.between(ord("h"), ord("n")), "email")
-                .when(first.between(ord("o"), ord("t")), "date")
-                .when(first.between(ord("!"), ord("~")), "O")
-                .when(size > 1, "person")
+            return let(
+                F.struct(
+                    F.octet_length(piece).alias("size"), F.ascii(F.lower(piece)).alias("first")
+                ),
+                lambda p: F.struct(
+                    (end - p.size).alias("start"),
+                    end.alias("end"),
+                    label(p.first, p.size).alias("label"),
+                    F.get(scores, p.size).alias("score"),
+                ),
             )
-            score = F.when(size == 1, 0.2).when(size == 2, 0.55).otherwise(0.9).cast("float")
-            return F.struct(
-                (end - size).alias("start"),
-                end.alias("end"),
-                label.alias("label"),
-                score.alias("score"),
+
+        def label(first: Column, size: Column) -> Column:
+            return (
+                F.when((first >= ord("a")) & (first <= ord("g")), "person")
+                .when((first >= ord("h")) & (first <= ord("n")), "email")
+                .when((first >= ord("o")) & (first <= ord("t")), "date")
+                .when((first >= ord("!")) & (first <= ord("~")), "O")
+                .when(size > 1, "person")
             )
 
+        # By the size of a piece in bytes.
+        scores = F.lit([0.0, 0.2, 0.55, 0.9, 0.9]).cast("array<float>")
         pieces = F.regexp_extract_all(text, F.lit("[A-Za-z]{1,3}|[^A-Za-z]"), F.lit(0))
         return let(pieces, scored)
 
@@ -582,20 +590,24 @@ def q_model_scan(spark, sf_dir):
 
 
 def q_scan_path(spark, sf_dir):
-    """Scan of a directory that holds the documents as text files, one directory per language."""
+    """Scan of a directory that holds the documents as text files, one directory per language.
+
+    A file holds many documents, and no entity reaches over a newline. With chunks as large as a file
+    no entity is cut, so the entities are those of the documents.
+    """
     folder = shared_folder(spark)
-    _documents(spark, sf_dir).select("text", "lang").write.partitionBy("lang").text(folder)
-    return count_labels(scan_directory(spark, folder, scanner=SCANNER))
+    documents = _documents(spark, sf_dir).select("text", "lang")
+    documents.write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(folder)
+    sizes = {"max_chunk_size": WHOLE_FILE, "max_file_size_mb": 2000.0}
+    scanner = Scanner.for_request(log=True, overrides=sizes)
+    return count_labels(scan_directory(spark, folder, scanner=scanner))
 
 
 def q_scan_stream(spark, sf_dir):
     folder = shared_folder(spark)
-    documents = _documents(spark, sf_dir)
-    arriving = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    schema = _documents(spark, sf_dir).schema
+    # A glob, as the table is one file or a directory of files.
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     results = scan_table(arriving, "text", "doc_id", SCANNER)
     write_stream(results, f"{folder}/results", f"{folder}/checkpoint").awaitTermination()
     return _flat(spark.read.schema(results.schema).parquet(f"{folder}/results"), "doc_id")

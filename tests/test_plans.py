@@ -1,6 +1,5 @@
 """What the physical plans must look like to hold at any size."""
 
-from pyspark.sql import functions as F
 
 from catalog import queries
 from veilscan import Settings

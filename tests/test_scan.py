@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from catalog.queries import PieceScorer, toy_model
 from veilscan import Scanner, Settings, entity_rows, scan_table

@@ -152,7 +152,11 @@ def distinct_entities(entities: Column) -> Column:
             let(ranked, first_of_run), lambda r: F.struct(r.i.alias("i"), r.entity.alias("entity"))
         )
     )
-    return F.when(F.size(entities) < 2, entities).otherwise(
+    # Tokens come in order as a rule, and entities whose starts rise have nothing to fold.
+    falls = F.filter(
+        entities, lambda e, i: F.get(entities, i - F.lit(1)).start >= e.start
+    )
+    return F.when(F.size(falls) == 0, entities).otherwise(
         F.transform(in_order, lambda r: r.entity)
     )
 

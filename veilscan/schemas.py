@@ -3,24 +3,7 @@
 from __future__ import annotations
 
 ENTITY = "struct<text:string,label:string,score:float,start:int,end:int>"
-SPAN = "struct<label:string,start:int,end:int,score:float>"
 TOKEN = "struct<start:int,end:int,label:string,score:float>"
 CHUNK = "struct<chunk_idx:int,offset:int,text:string>"
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
-
-RESULT_COLUMNS = [
-    "status",
-    "entities",
-    "pii_count",
-    "file_size_bytes",
-    "chunks_processed",
-    "error",
-]
-
-REQUESTS = (
-    "path string, recursive boolean, labels array<string>, label_profile string, "
-    "use_extended_labels boolean, use_private_conversation boolean, use_log_signals boolean, "
-    "threshold float, chunk_size int, batch_size int, max_file_size float, "
-    "filter_false_positives boolean"
-)
