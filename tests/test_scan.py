@@ -83,6 +83,11 @@ def test_several_id_columns(spark):
     assert {(r.c, r.d, r.pii_count) for r in rows} == {(1, "a", 1), (1, "b", 0)}
 
 
+def test_names_of_id_columns(spark):
+    with pytest.raises(ValueError, match="text"):
+        scan_table(documents(spark, ["a"]).withColumnRenamed("doc_id", "error"), "text", ["error", "text"])
+
+
 @pytest.mark.parametrize("spread", [None, 8])
 def test_model_scorer_keeps_every_document(spark, spread):
     texts = ["some words here " * 30, "", "x", "y" * 5000, "a b"]

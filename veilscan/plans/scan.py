@@ -205,5 +205,8 @@ def scan_table(
     chunks_processed, error``. Rows without text are not documents and give no result.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    taken = {"text", "chunks", *schemas.RESULT_COLUMNS}.intersection(ids)
+    if taken:
+        raise ValueError(f"Rename the id columns {sorted(taken)}; results use these names")
     narrow = spread_small(df.select(*ids, text_col))
     return scanner.scan_documents(gate_table(narrow, text_col, ids, scanner.settings), ids)
