@@ -16,6 +16,9 @@ PLACES = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) * U(2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and, beside it, ASCII marks.
+_MARKS = _SPACE.copy()
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -41,11 +44,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _block_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(raw: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of lower-cased bytes."""
     space = np.empty(len(raw) + 2, bool)
     space[0] = space[-1] = True
-    space[1:-1] = _SPACE[raw]
+    space[1:-1] = (_MARKS if marks else _SPACE)[raw]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[0::2], edges[1::2]
     up, down = _power(len(raw))
@@ -54,8 +57,8 @@ def _block_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def word_hashes(raw: bytes | np.ndarray) -> np.ndarray:
-    """Hashes of the words of one UTF-8 text, A-Z in lower case; words are parted by ASCII white space."""
+def word_hashes(raw: bytes | np.ndarray, marks: bool = False) -> np.ndarray:
+    """Hashes of the words of one UTF-8 text, A-Z in lower case; words are parted by ASCII white space, or by marks too."""
     raw = np.frombuffer(raw, np.uint8)
     parts, at = [], 0
     while at < len(raw):
@@ -66,7 +69,7 @@ def word_hashes(raw: bytes | np.ndarray) -> np.ndarray:
                 end += int(gaps[0])
                 break
             end = min(len(raw), end + BLOCK)
-        parts.append(_block_words(raw[at:end])[1])
+        parts.append(_block_words(raw[at:end], marks)[1])
         at = end
     return np.concatenate(parts) if parts else np.empty(0, U)
 
@@ -81,18 +84,18 @@ def string_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
-def words_of(array: pa.Array) -> Iterator[np.ndarray]:
+def words_of(array: pa.Array, marks: bool = False) -> Iterator[np.ndarray]:
     """Word hashes of each text of a column, in blocks of many short texts or one long one."""
     at, raw = string_buffers(array)
     k = 0
     while k < len(at) - 1:
         end = max(k + 1, int(np.searchsorted(at, at[k] + BLOCK, "right")) - 1)
         if at[end] - at[k] > BLOCK:
-            yield word_hashes(raw[at[k] : at[end]])
+            yield word_hashes(raw[at[k] : at[end]], marks)
         else:  # a space after each text keeps words apart
             cut, own = at[k : end + 1] - at[k], raw[at[k] : at[end]]
             padded = np.insert(own, cut[1:], 32) if end - k > 1 else own
-            starts, hashes = _block_words(padded)
+            starts, hashes = _block_words(padded, marks)
             yield from np.split(hashes, np.searchsorted(starts, (cut + np.arange(len(cut)))[1:-1]))
         k = end
 

@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, expected severity, most likely grade, and whether the document is toxic, of all documents."""
+    """doc_id, expected severity, median grade, and whether the document is toxic, of all documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null")
     model = toxicity.learn(docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"), "text", "toxic")

@@ -6,7 +6,8 @@ these over j: a number between 0 and the highest grade. The model is fitted to a
 sample at a time, by gradient steps of adapting size with a penalty on the weights.
 
 Texts come with grades 0, 1, ... for a fit. labelled_grades() makes three of a yes/no label: 0 for
-no; of the others, 1 with one tell-tale word and 2 with more. A word is tell-tale by a first fit to the label alone.
+no; of the others, 2 with more tell-tale words than their median text and else 1. A word is tell-tale by
+a first fit to the label alone.
 
 Inputs: null texts and texts without words have no features, and so the severity of the cuts alone.
 Rows without a grade aren't learnt from; with nothing to learn from, the severity is 0. A text of any
@@ -28,7 +29,7 @@ from veilscan.llm import kernels as K
 from veilscan.llm.store import text_or_empty
 
 #: Labelled texts learnt from at most (about: rows are picked by a hash).
-SAMPLE = 10_000
+SAMPLE = 20_000
 PLACES = 1 << 18
 
 
@@ -44,18 +45,25 @@ class Ordinal(NamedTuple):
 
 
 def features(texts: pa.Array) -> list[np.ndarray]:
-    """Places of the distinct words of each text; marks at the ends of words count as part of none."""
-    return [np.unique(words % K.U(PLACES)).astype(np.int64) for words in K.words_of(texts)]
+    """Places of the distinct words of each text; ASCII marks part words."""
+    return [np.unique(words % K.U(PLACES)).astype(np.int64) for words in K.words_of(texts, marks=True)]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, penalty: float = 2e-4) -> Ordinal:
-    """Fit by gradient steps (Adam) on the mean log loss of the grades."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, penalty: float = 1e-5, telling: float = 7.0) -> Ordinal:
+    """Fit by gradient steps (Adam) on the mean log loss of the grades.
+
+    Only places that tell something have a weight: the mean grade of the rows that hold one is at
+    least so many standard errors from the mean of all rows.
+    """
     top = int(grades.max()) if len(grades) else 0
     if top == 0:
         return Ordinal(np.zeros(PLACES, np.float32), np.full(1, np.inf))
-    sizes = np.array([len(x) for x in rows])
-    used, spot = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    owner, places = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)
+    counts = np.bincount(places, minlength=PLACES)
+    sums = np.bincount(places, grades[owner].astype(float), PLACES)
+    good = (np.abs(sums - counts * grades.mean()) >= telling * grades.std() * np.sqrt(np.maximum(counts, 1)))[places]
+    owner, places = owner[good], places[good]
+    used, spot = np.unique(places, return_inverse=True)
     shares = np.array([(grades > j).mean() for j in range(top)]).clip(1e-6, 1 - 1e-6)
     cuts = np.log((1 - shares) / shares)
     theta = np.concatenate([np.zeros(len(used)), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
@@ -101,7 +109,9 @@ def labelled_grades(rows: list[np.ndarray], toxic: np.ndarray, share: float = 0.
     """Grades of texts with a yes/no label. Tell-tale words: weights of a share of the largest one at least."""
     weights = fit(rows, toxic).weights
     tell = weights >= max(share * weights.max(), 1e-3)
-    return np.array([min(2, max(1, int(tell[x].sum()))) if y else 0 for x, y in zip(rows, toxic, strict=True)], np.int64)
+    found = np.array([int(tell[x].sum()) for x in rows])
+    middle = np.median(found[toxic > 0]) if (toxic > 0).any() else 0
+    return np.where(toxic > 0, np.where(found > middle, 2, 1), 0).astype(np.int64)
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Ordinal:
@@ -111,7 +121,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
 
 def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", out_col: str = "severity", grade_col: str = "grade") -> DataFrame:
-    """All rows and columns, and the expected severity and the most likely grade (ties: the lower one)."""
+    """All rows and columns, and the expected severity and the median grade, the number of cuts with a chance of 0.5 at least."""
     if {out_col, grade_col} & set(docs.columns):
         raise ValueError(f"there is a column {out_col} or {grade_col} already")
     position = docs.columns.index(text_col)
@@ -122,8 +132,7 @@ def severity(docs: DataFrame, model: Ordinal, text_col: str = "text", out_col: s
         for batch in (part for whole in batches for part in K.slices(whole, position)):
             scores = np.array([float(model.weights[x].sum()) for x in features(batch.column(position))])
             above = model.chances(scores)
-            edges = np.concatenate([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))], 1)
-            more = [pa.array(above.sum(1)), pa.array(np.argmax(edges[:, :-1] - edges[:, 1:], 1).astype(np.int32))]
+            more = [pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, out_col, grade_col])
 
     fields = [T.StructField(out_col, T.DoubleType()), T.StructField(grade_col, T.IntegerType())]
