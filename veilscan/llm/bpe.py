@@ -19,6 +19,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm import kernels as K
-from veilscan.llm.word_ids import WHITE, WordIds, ranges
+from veilscan.llm.word_ids import LATIN_LETTERS, LATIN_NUMBERS, LATIN_WHITE, WHITE, WordIds, is_latin, ranges
 
 #: Words in the transducer.
 FREQUENT = 50_000
 
 _PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
+_LATIN = re.compile(
+    f"'(?:[sdmt]|ll|ve|re)| ?[{LATIN_LETTERS}]+| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+    f"|[{LATIN_WHITE}]+(?![^{LATIN_WHITE}])|[{LATIN_WHITE}]+"
+)
 _WORDS = regex.compile(
     rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}++| ?\p{{N}}++| ?[^{WHITE}\p{{L}}\p{{N}}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
@@ -72,7 +77,7 @@ class Vocabulary:
         self.pairs, self.ranks, self.made = pairs[order], order, made[order]
 
     def words(self, text: str) -> list[str]:
-        find = _PLAIN if text.isascii() else _WORDS
+        find = _PLAIN if text.isascii() else _LATIN if is_latin(text) else _WORDS
         if self.split is None or not any(x in text for x in self.special):
             return find.findall(text)
         parts = self.split.split(text)
@@ -110,6 +115,12 @@ class Vocabulary:
         return np.bincount(owner, minlength=len(words)), ids[order]
 
 
+@cache
+def vocabulary_of(path: str) -> Vocabulary:
+    """One for each Python worker, which runs many tasks."""
+    return Vocabulary(path)
+
+
 def build_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
     """The file image of the transducer of words: arrays one after the other, behind their sizes."""
     words = sorted(set(words))
@@ -227,7 +238,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_
     """The most frequent words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = Vocabulary(tokenizer), Counter()
+        vocabulary, counts = vocabulary_of(tokenizer), Counter()
 
         def take() -> pa.RecordBatch:
             rows = pa.record_batch({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -252,10 +263,10 @@ def encode(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_col: str
         raise ValueError(f"there is a column {ids_col} already")
     position = docs.columns.index(text_col)
     words = frequent_words(docs, tokenizer, count, text_col)
-    image = docs.sparkSession.sparkContext.broadcast(build_lexicon(words, Vocabulary(tokenizer)))
+    image = docs.sparkSession.sparkContext.broadcast(build_lexicon(words, vocabulary_of(tokenizer)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(tokenizer), Lexicon.mapped(image.value))
+        encoder = Encoder(vocabulary_of(tokenizer), Lexicon.mapped(image.value))
         for batch in (part for whole in batches for part in K.slices(whole, position, 2 * K.BLOCK)):
             ids = encoder([x or "" for x in batch.column(position).to_pylist()])
             ids = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
@@ -271,7 +282,7 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", decoded_col: s
     position = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary(tokenizer).bytes
+        tokens = vocabulary_of(tokenizer).bytes
         lengths = np.array([len(x) for x in tokens], np.int64)
         data, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
         for batch in batches:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import kernels as K
 from veilscan.llm.store import text_or_empty, write_table
-from veilscan.llm.word_ids import WHITE, WordIds
+from veilscan.llm.word_ids import LATIN_LETTERS, LATIN_NUMBERS, LATIN_WHITE, WHITE, WordIds, is_latin
 
 DIMS, BITS = 3, 10
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 _SIGMA = "Σ"
 
@@ -46,17 +48,16 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers
 
-        whole = Tokenizer.from_file(path)
-        self.special = {t.content: k for k, t in whole.get_added_tokens_decoder().items()}
-        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.bare = Tokenizer.from_file(path)
+        self.special = {t.content: k for k, t in self.bare.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.no_truncation()
         self.bare.no_padding()
-        vocabulary = whole.get_vocab(with_added_tokens=False)
+        vocabulary = self.bare.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
-        self.cache = WordIds(self._encode)
+        self.cache = WordIds(self._encode, 150_000)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.int64)]
@@ -79,7 +80,8 @@ class WordTokenizer:
         text = unicodedata.normalize("NFC", text)
         if _SIGMA in text:  # str.lower() has a rule for the ends of words
             text = text.replace(_SIGMA, "σ")
-        return _WORDS.findall(text.lower())
+        text = text.lower()
+        return (_LATIN if is_latin(text) else _WORDS).findall(text)
 
     def words(self, text: str) -> list[str]:
         if "<|" not in text:
@@ -90,6 +92,12 @@ class WordTokenizer:
         return self.cache([self.words(text) for text in texts])
 
 
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker, which runs many tasks."""
+    return WordTokenizer(path)
+
+
 def projection(size: int) -> np.ndarray:
     """For each hashed place of the vector, its DIMS coordinates."""
     return np.random.default_rng(10).standard_normal((size, DIMS)).astype(np.float32)
@@ -99,9 +107,8 @@ def grid_cells(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """Grid cells of documents given as ids."""
     points = np.zeros((len(ids), DIMS))
     for k, own in enumerate(ids):
-        counts = np.bincount(own, minlength=1)
-        places = np.flatnonzero(counts)
-        weights = 1 + np.log(counts[places])
+        places, counts = np.unique(own, return_counts=True)
+        weights = 1 + np.log(counts)
         points[k] = weights @ table[places] / (np.sqrt(weights @ weights) or 1)
     steps = 1 << BITS
     return np.clip((np.tanh(points / 2) + 1) / 2 * steps, 0, steps - 1).astype(np.int64)
@@ -175,7 +182,7 @@ def placed_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     """(doc_id, place, ids) of every document; ids: little-endian unsigned 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = WordTokenizer(tokenizer), projection(1 << 16)
+        encode, table = tokenizer_of(tokenizer), projection(1 << 16)
         for batch in (part for whole in batches for part in K.slices(whole, "text", 2 * K.BLOCK)):
             ids = [np.append(x, np.uint16(end_id)) for x in encode(batch["text"].to_pylist())]
             yield pa.record_batch(

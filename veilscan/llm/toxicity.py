@@ -41,7 +41,7 @@ class Ordinal(NamedTuple):
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > j) of each row."""
-        return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - scores[:, None], -40, 40)))
+        return np.where(np.isinf(self.cuts), 0.0, 1 / (1 + np.exp(np.clip(self.cuts[None, :] - scores[:, None], -40, 40))))
 
 
 def features(texts: pa.Array) -> list[np.ndarray]:
