@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import kernels as K
-from veilscan.llm.linkage import linked_items, members
+from veilscan.llm.linkage import linked_items, members, sketch
 from veilscan.llm.store import array_rows, bloom_of, in_bloom, sum_arrays, text_or_empty, write_table
 
 #: Counters of the frequency sketch: 8 MiB, whatever the input.
@@ -157,21 +157,24 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
             for _, tokens in _sets(batch, n):
                 key = K.set_key(tokens)
                 if key not in found and in_bloom(bloom.value, np.array([key[0]], K.U))[0]:
-                    found[key] = tokens.tobytes()
+                    found[key] = tokens
             if found:
                 high, low = np.array(list(found), K.U).T
-                yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": pa.array(list(found.values()), pa.binary())})
+                tokens = pa.array([x.tobytes() for x in found.values()], pa.binary())
+                sketches = pa.array([sketch(x) for x in found.values()], pa.list_(pa.int64()))
+                yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": tokens, "sketch": sketches})
 
-    sets = docs.select("text").mapInArrow(gather, "item binary, tokens binary")
+    sets = docs.select("text").mapInArrow(gather, "item binary, tokens binary, sketch array<long>")
     sets = write_table(sets.dropDuplicates(["item"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+        own = sets.select("item", "tokens")
+        left, right = own.toDF("a", "x"), own.toDF("b", "y")
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
             lambda it: _verified(it, percent), "a binary, b binary"
         )
 
-    roots = linked_items(shared, percent, verify)
+    roots = linked_items(shared, percent, sets, verify)
     rows = named.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return (

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm import kernels as K
-from veilscan.llm.linkage import linked_items, members
+from veilscan.llm.linkage import linked_items, members, sketch
 from veilscan.llm.store import bloom_of, fresh, in_bloom, write_table
 
 SHINGLE = 8
@@ -134,15 +134,20 @@ def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
             lines = sorted(lines)
             keys = np.array([line_key(line) for line in lines], np.int64)
             keep = pa.array(in_bloom(bloom.value, keys)) if lines else pa.array([], pa.bool_())
-            yield pa.record_batch({"item": pa.array(keys).filter(keep), "body": pa.array(lines, pa.string()).filter(keep)})
+            keys, lines = pa.array(keys).filter(keep), pa.array(lines, pa.string()).filter(keep)
+            sketches = [sketch(np.unique(shingles(K.code_points(line)))) for line in lines.to_pylist()]
+            yield pa.record_batch({"item": keys, "body": lines, "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    bodies = write_table(texts.mapInArrow(gather, "item long, body string").dropDuplicates(["item"]), "bodies")
+    bodies = texts.mapInArrow(gather, "item long, body string, sketch array<long>")
+    bodies = write_table(bodies.dropDuplicates(["item"]), "bodies")
+
+    lines = bodies.select("item", "body")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_linking(percent), "a long, b long")
 
-    return linked_items(shared, percent, verify)
+    return linked_items(shared, percent, bodies, verify)
 
 
 def _cut(position: int, dropped: int):

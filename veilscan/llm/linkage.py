@@ -1,7 +1,7 @@
 """Groups of items that share a signature and pass an exact test, without all pairs of a group.
 
 Each signature has one leader, picked by hash so that another one leads under each signature. Items
-are tested against their leaders; what links is joined into components. Only pairs under one
+are tested against their leaders, in two rounds; what links is joined into components. Only pairs under one
 signature whose components still differ are then left to test, which makes the result complete:
 two items that share a signature and would pass the test always end in one component.
 """
@@ -104,24 +104,71 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 4
 
 
-def linked_items(shared: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(item, root) of linked items. verify: keeps those of the pairs (a, b) that link.
+def sketch(hashes: np.ndarray) -> list[int]:
+    """For a set of 64-bit hashes: for each bit whether an odd number of members has it, as signed 64-bit words.
 
-    Pairs whose sizes alone rule out a similarity of percent are never tested.
+    Two sets differ in as many members at least as their sketches in bits, which rules out pairs exactly.
     """
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    led = shared.filter("item != leader").filter(near("size", "leader_size")).select(*_pair("leader", "item")).distinct()
-    led = write_table(led, "pairs")
-    links = write_table(verify(led), "links")
-    roots = components(links)
-    own = shared.join(roots, "item", "left").select("sig", "item", "size", F.coalesce("root", "item").alias("root"))
-    mixed = own.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    left = write_table(own.join(mixed.select("sig"), "sig"), "left")
-    x, y = left.toDF("sig", "p", "m", "r"), left.toDF("sig", "q", "n", "s")
-    rest = x.join(y, "sig").filter("r < s").filter(near("m", "n")).select(*_pair("p", "q")).distinct()
-    rest = write_table(rest.join(led, ["a", "b"], "left_anti"), "pairs")
-    return components(links.union(write_table(verify(rest), "links")))
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _near(percent: int, m: str, n: str, x: str, y: str) -> F.Column:
+    """Whether sizes and sketches leave room for a Jaccard similarity of percent."""
+    sizes = F.least(m, n) * 100 >= F.greatest(m, n) * percent
+    bits = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH_WORDS)]
+    return sizes & (sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(m) + F.col(n)) * (100 - percent))
+
+
+def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(item, root) of linked items. sketches: (item, sketch) of all of them. verify: keeps those of the pairs (a, b) that link.
+
+    Pairs whose sizes or sketches rule out a similarity of percent are never tested. There are two
+    rounds of leaders: under each signature the item that shares the most signatures with others, in
+    a group of copies most likely the original, and one picked by hash.
+    """
+    counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    weights = shared.join(counts, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
+    rows = shared.select("sig", "item", "size", (F.col("item") == F.col("leader")).alias("picked"))
+    rows = rows.join(weights, "item").join(sketches.select("item", "sketch"), "item")
+    rows = write_table(rows.withColumn("one", F.struct("weight", "item", "size", "sketch")), "weighted")
+    most = rows.groupBy("sig").agg(F.max("one").alias("led"))
+    by_hash = rows.filter("picked").select("sig", F.col("one").alias("led"))
+    links, tested, roots = None, None, None
+    for leaders in (most, by_hash, None):
+        own = _rooted(rows, roots)
+        if leaders is not None:
+            x = own.select("sig", "root", "item", "size", "sketch")
+            y = leaders.select("sig", "led.item", "led.size", "led.sketch")
+            y = _rooted(y, roots).select("sig", "root", "item", "size", "sketch")
+        else:
+            x = y = own.select("sig", "root", "item", "size", "sketch")
+        pairs = _open_pairs(x, y, percent, both_ways=leaders is not None)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = write_table(pairs, "pairs")
+        found = write_table(verify(pairs), "links")
+        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+        roots = components(links)
+    return roots
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("item"))
+    return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+
+
+def _open_pairs(x: DataFrame, y: DataFrame, percent: int, both_ways: bool) -> DataFrame:
+    """Pairs (a, b) with a < b under one signature whose roots differ and that could link."""
+    low, high = F.min("root").alias("low"), F.max("root").alias("high")
+    mixed = x.groupBy("sig").agg(low, high).filter("low != high").select("sig")
+    x = write_table(x.join(mixed, "sig"), "left")
+    y = y if both_ways else x
+    x, y = x.toDF("sig", "r", "p", "m", "v"), y.toDF("sig", "s", "q", "n", "w")
+    match = (x.sig == y.sig) & (F.col("r") != F.col("s") if both_ways else F.col("r") < F.col("s")) & _near(percent, "m", "n", "v", "w")
+    return x.join(y, match).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
