@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,6 @@ from veilscan.operators.decoding import (
     label_name,
 )
 from veilscan.operators.gates import is_text_path
-from veilscan.plans.parallelism import spread_small
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
 from veilscan.sources.files import decode_bytes
@@ -53,7 +52,6 @@ from veilscan.streaming.landing import write_stream
 
 SCANNER = Scanner.for_request(log=True)
 WHOLE_FILE = 2_000_000_000
-SMALL_PAGES = Scanner.for_request(log=True, overrides={"max_file_size_mb": 0.01})
 
 
 class PieceScorer:
@@ -139,12 +137,10 @@ def toy_model() -> ModelScorer:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see, under the one the cluster names for checkpoints."""
+    """A new folder that all executors see, under the one the cluster names for checkpoints, else in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="veilscan-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/veilscan-{uuid.uuid4().hex}"
 
 
@@ -156,18 +152,27 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _spread(spark, scanner):
+    """Rows are dealt out over the cores, whatever the size of the table."""
+    return replace(scanner, partitions=spark.sparkContext.defaultParallelism)
+
+
+def _dealt(df):
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _scan_documents(spark, sf_dir, scanner=SCANNER):
-    return scan_table(_documents(spark, sf_dir), "text", "doc_id", scanner)
+    return scan_table(_documents(spark, sf_dir), "text", "doc_id", _spread(spark, scanner))
 
 
 def _scan_pages(spark, sf_dir, scanner=SCANNER):
-    return scan_table(table(spark, sf_dir, "pages"), "html", "page_id", scanner)
+    return scan_table(table(spark, sf_dir, "pages"), "html", "page_id", _spread(spark, scanner))
 
 
 def _orders(spark, sf_dir, **columns: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     derived = orders.select("o_orderkey", *[F.expr(e).alias(n) for n, e in columns.items()])
-    return spread_small(derived)
+    return _dealt(derived)
 
 
 def _flat(results: DataFrame, key: str) -> DataFrame:
@@ -335,7 +340,7 @@ def q_chunk_count(spark, sf_dir):
 
 
 def q_tokenise(spark, sf_dir):
-    chunks = _chunk_rows(spread_small(_documents(spark, sf_dir)), "doc_id", "text", 8000)
+    chunks = _chunk_rows(_dealt(_documents(spark, sf_dir)), "doc_id", "text", 8000)
     tokens = chunks.select(
         "doc_id", "chunk_idx", "offset", F.inline(SCANNER.scorer.tokens(F.col("text")))
     )
@@ -351,7 +356,7 @@ def q_tokenise(spark, sf_dir):
 
 
 def _piece_tokens(spark, sf_dir) -> DataFrame:
-    chunks = _chunk_rows(spread_small(_documents(spark, sf_dir)), "doc_id", "text", 1000)
+    chunks = _chunk_rows(_dealt(_documents(spark, sf_dir)), "doc_id", "text", 1000)
     return compute_once(
         chunks.select("doc_id", "text"), tokens=PIECES.scorer.tokens(F.col("text"))
     ).select("doc_id", "tokens")
@@ -507,15 +512,15 @@ def q_scan_conversations(spark, sf_dir):
 
 
 def q_scan_results(spark, sf_dir):
-    return _scan_pages(spark, sf_dir, SMALL_PAGES).drop("entities")
+    return _scan_pages(spark, sf_dir).drop("entities")
 
 
 def q_scan_summary(spark, sf_dir):
-    return summarise(_scan_pages(spark, sf_dir, SMALL_PAGES))
+    return summarise(_scan_pages(spark, sf_dir))
 
 
 def q_status_counts(spark, sf_dir):
-    return count_statuses(_scan_pages(spark, sf_dir, SMALL_PAGES))
+    return count_statuses(_scan_pages(spark, sf_dir))
 
 
 def q_by_label(spark, sf_dir):
@@ -539,11 +544,11 @@ def q_confidence_band(spark, sf_dir):
 
 
 def q_visible_results(spark, sf_dir):
-    return report(_scan_pages(spark, sf_dir, SMALL_PAGES), "page_id").select("page_id", "status")
+    return report(_scan_pages(spark, sf_dir), "page_id").select("page_id", "status")
 
 
 def q_headline(spark, sf_dir):
-    shown = report(_scan_pages(spark, sf_dir, SMALL_PAGES), "page_id", show_all=True)
+    shown = report(_scan_pages(spark, sf_dir), "page_id", show_all=True)
     return shown.select("page_id", "headline")
 
 
@@ -557,7 +562,7 @@ def q_response_json(spark, sf_dir):
 
 def q_write_results(spark, sf_dir):
     folder = shared_folder(spark)
-    write_response(_scan_pages(spark, sf_dir, SMALL_PAGES), folder, format="parquet")
+    write_response(_scan_pages(spark, sf_dir), folder, format="parquet")
     return spark.read.parquet(f"{folder}/summary")
 
 

@@ -81,12 +81,6 @@ def test_random_tokens(evaluate, labels):
     ]
 
 
-def test_token_limit(evaluate):
-    tokens = [(i, i + 1, "person", 0.9) for i in range(20)]
-    (spans,) = evaluate(merge_tokens(F.col("tokens"), [], 0.3, token_limit=13), [(tokens,)], TOKENS)
-    assert [(s.start, s.end) for s in spans] == [(0, 13)]
-
-
 def test_policy_beats_setting(evaluate):
     tokens = [(0, 5, "email", 0.9)]
 

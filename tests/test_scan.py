@@ -14,7 +14,7 @@ def documents(spark, texts):
 
 def test_gates(spark):
     texts = ["mail a.b@x.org", "plain", "", " \n", "x" * 5000, None]
-    scanner = Scanner.for_request(overrides={"max_file_size_mb": 0.004})
+    scanner = Scanner.for_request(overrides={"max_file_size_mb": 0.004}, limit_texts=True)
     rows = {r.doc_id: r for r in scan_table(documents(spark, texts), "text", "doc_id", scanner).collect()}
     assert set(rows) == {0, 1, 2, 3, 4}
     assert [(rows[i].status, rows[i].pii_count, rows[i].chunks_processed) for i in range(5)] == [
@@ -97,6 +97,7 @@ def test_model_scorer_keeps_every_document(spark, spread):
         scorer=toy_model(),
         filters=False,
         spread_chunks=spread,
+        limit_texts=True,
     )
     rows = {r.doc_id: r for r in scan_table(documents(spark, texts), "text", "doc_id", scanner).collect()}
     assert [rows[i].status for i in range(5)] == ["success", "skipped", "success", "skipped", "success"]
@@ -131,3 +132,18 @@ def test_scan_of_a_large_input_does_not_shuffle(spark):
     assert "Exchange" not in plan
     # The search of the text is in the plan once for each form of its pattern, not again per filter.
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_long_texts_of_a_table_are_scanned(spark):
+    text = "x " * 4000 + "a.b@x.org"
+    scanner = Scanner.for_request(overrides={"max_file_size_mb": 0.004})
+    row = scan_table(documents(spark, [text]), "text", "doc_id", scanner).first()
+    assert (row.status, row.pii_count) == ("success", 1)
+
+
+@pytest.mark.parametrize("run", ["1.", "1", "a", "@", "-", " ", "a.", "a@b.co "])
+def test_long_runs_neither_overflow_nor_stall(spark, run):
+    scanner = Scanner.for_request(overrides={"max_chunk_size": 2_000_000_000})
+    text = run * (20_000 if run == "a" else 2_000 if "@b" in run else 300_000) + " a.b@x.org"
+    row = scan_table(documents(spark, [text]), "text", "doc_id", scanner).first()
+    assert row.status == "success" and row.entities[-1].text == "a.b@x.org"

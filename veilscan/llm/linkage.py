@@ -1,7 +1,7 @@
 """Groups of items that share a signature and pass an exact test, without all pairs of a group.
 
-Each signature has one leader, picked by hash so that another one leads under each signature. Items
-are tested against their leaders, in two rounds; what links is joined into components. Only pairs under one
+Each signature has one leader. Items
+are tested against their leaders; what links is joined into components. Only pairs under one
 signature whose components still differ are then left to test, which makes the result complete:
 two items that share a signature and would pass the test always end in one component.
 """
@@ -127,19 +127,17 @@ def _near(percent: int, m: str, n: str, x: str, y: str) -> F.Column:
 def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(item, root) of linked items. sketches: (item, sketch) of all of them. verify: keeps those of the pairs (a, b) that link.
 
-    Pairs whose sizes or sketches rule out a similarity of percent are never tested. There are two
-    rounds of leaders: under each signature the item that shares the most signatures with others, in
-    a group of copies most likely the original, and one picked by hash.
+    Pairs whose sizes or sketches rule out a similarity of percent are never tested. A signature's
+    leader is the item that shares the most signatures with others: in a group of copies most likely
+    the original.
     """
     counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     weights = shared.join(counts, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
-    rows = shared.select("sig", "item", "size", (F.col("item") == F.col("leader")).alias("picked"))
-    rows = rows.join(weights, "item").join(sketches.select("item", "sketch"), "item")
+    rows = shared.select("sig", "item", "size").join(weights, "item").join(sketches.select("item", "sketch"), "item")
     rows = write_table(rows.withColumn("one", F.struct("weight", "item", "size", "sketch")), "weighted")
     most = rows.groupBy("sig").agg(F.max("one").alias("led"))
-    by_hash = rows.filter("picked").select("sig", F.col("one").alias("led"))
     links, tested, roots = None, None, None
-    for leaders in (most, by_hash, None):
+    for leaders in (most, None):
         own = _rooted(rows, roots)
         if leaders is not None:
             x = own.select("sig", "root", "item", "size", "sketch")

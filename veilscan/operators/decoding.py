@@ -63,14 +63,9 @@ def is_scored(token: Column) -> Column:
 
 
 def merge_tokens(
-    tokens: Column, labels: Sequence[str], threshold: float, token_limit: int | None = None
+    tokens: Column, labels: Sequence[str], threshold: float
 ) -> Column:
-    """Spans of one chunk as ``array<struct<label, start, end, score>>``, linear in the tokens.
-
-    ``token_limit`` reads only the first tokens of each chunk, for comparison with scanners that do.
-    """
-    if token_limit is not None:
-        tokens = F.slice(tokens, 1, token_limit)
+    """Spans of one chunk as ``array<struct<label, start, end, score>>``, linear in the tokens."""
 
     def is_hit(token: Column) -> Column:
         return (token.label != OUTSIDE) & ~is_weak(token.score, threshold)
@@ -169,7 +164,6 @@ def chunk_entities(
     settings: Settings,
     filters: bool = True,
     rules: Sequence[FalsePositiveRule] = DEFAULT_RULES,
-    token_limit: int | None = None,
 ) -> Column:
     """Entities of one chunk with offsets in the document.
 
@@ -199,5 +193,5 @@ def chunk_entities(
             entities, lambda e: ~is_false_positive(e.label, e.text, e.score, rules)
         )
 
-    spans = merge_tokens(tokens, labels, settings.threshold, token_limit)
+    spans = merge_tokens(tokens, labels, settings.threshold)
     return let(spans, lambda s: let(kept(sliced(s)), distinct_entities))

@@ -41,6 +41,11 @@ def too_large_message(length: Column, settings: Settings) -> Column:
     )
 
 
+def empty_message(text: Column) -> Column:
+    """Why a document of any size is skipped, or NULL if it is to be scanned."""
+    return F.when(is_blank(text), F.lit(EMPTY))
+
+
 def gate_message(text: Column, length: Column, settings: Settings) -> Column:
     """Why a document is skipped, or NULL if it is to be scanned."""
     return F.when(too_large(length, settings), too_large_message(length, settings)).when(

@@ -5,6 +5,7 @@ Everything is a column expression, so scanning with it stays in the JVM and in o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,12 +20,19 @@ from veilscan.functions.columns import let, running_sum
 OUTSIDE = "O"
 
 
+# An unbounded repeat of a group that is not possessive.
+_GROWING = re.compile(r"(?<!\\)\)(?:[*+]|\{[0-9]+,\})(?!\+)")
+
+
 @dataclass(frozen=True)
 class PatternRule:
     """Text matched by ``pattern`` is a token of ``label``; the label ``O`` shields text.
 
     Two hints make the search faster and must not change what it finds: every match begins with
     ``starts``, and only text that contains ``needs`` has a match.
+
+    Groups that repeat without a bound have to be possessive: Java matches others by recursion, and
+    a long text would overflow the stack of an executor.
     """
 
     label: str
@@ -33,19 +41,23 @@ class PatternRule:
     starts: str = ""
     needs: str = ""
 
+    def __post_init__(self) -> None:
+        if _GROWING.search(self.pattern):
+            raise ValueError(f"Make the unbounded repeats of groups possessive in {self.pattern!r}")
+
 
 _HEX = "[0-9a-fA-F]{8}"
 _DIGIT = "[0-9]"
 _ADDRESS_CHAR = "[A-Za-z0-9._%+-]"
 
-# In order: the first rule that matches at a position wins. Bounded and possessive repeats keep the
+# In order: the first rule that matches at a position wins. Possessive repeats keep the
 # search linear on text without spaces. An e-mail address begins where its run of characters
 # begins, or where the match before it ended.
 DEFAULT_RULES = (
     PatternRule("url", r"https?://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+", 0.9, needs="://"),
     PatternRule(
         "email",
-        rf"(?:\G|(?<!{_ADDRESS_CHAR})){_ADDRESS_CHAR}++@[A-Za-z0-9.-]{{1,253}}\.[A-Za-z]{{2,}}",
+        rf"(?:\G|(?<!{_ADDRESS_CHAR})){_ADDRESS_CHAR}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}",
         0.95,
         needs="@",
     ),
@@ -57,7 +69,7 @@ DEFAULT_RULES = (
         _HEX,
     ),
     PatternRule("token", r"[0-9a-f]{40}", 0.8, _HEX),
-    PatternRule(OUTSIDE, r"[0-9]+(?:\.[0-9]+){4,}", 1.0, _DIGIT),
+    PatternRule(OUTSIDE, r"[0-9]++(?:\.[0-9]++){4,}+", 1.0, _DIGIT),
     PatternRule("ip address", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.85, _DIGIT),
     PatternRule("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.75, _DIGIT),
     PatternRule("date", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", 0.6, _DIGIT),

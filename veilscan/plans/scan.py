@@ -20,10 +20,9 @@ from veilscan.functions.labels import resolve_labels, unsupported_labels
 from veilscan.operators.chunking import chunk_text
 from veilscan.operators.decoding import chunk_entities
 from veilscan.operators.false_positives import DEFAULT_RULES, FalsePositiveRule
-from veilscan.operators.gates import gate_message
+from veilscan.operators.gates import empty_message, gate_message
 from veilscan.operators.model_scorer import ModelScorer
 from veilscan.operators.pattern_scorer import PatternScorer
-from veilscan.plans.parallelism import spread_small
 from veilscan.settings import Settings
 
 
@@ -36,7 +35,10 @@ class Scanner:
     scorer: PatternScorer | ModelScorer = PatternScorer()
     filters: bool = True
     rules: tuple[FalsePositiveRule, ...] = DEFAULT_RULES
-    token_limit: int | None = None
+    # Deal the rows of a table out over this many tasks before they are scanned; None leaves them in place.
+    partitions: int | None = None
+    # Skip texts of a table that are over the settings' file size, as files are; else only files have a limit.
+    limit_texts: bool = False
     # Deal chunk rows out over this many tasks before a model sees them; None leaves them in place.
     spread_chunks: int | None = None
 
@@ -75,7 +77,6 @@ class Scanner:
             self.settings,
             self.filters,
             self.rules,
-            self.token_limit,
         )
 
     def scan_documents(self, documents: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -182,14 +183,16 @@ def _in_row_columns(scanner: Scanner, jvm) -> tuple[Column, Column]:
     return chunks, entities
 
 
-def gate_table(df: DataFrame, text_col: str, ids: Sequence[str], settings: Settings) -> DataFrame:
-    """Rows of a text table with the verdict of the size and the empty gate."""
+def gate_table(
+    df: DataFrame, text_col: str, ids: Sequence[str], settings: Settings | None = None
+) -> DataFrame:
+    """Rows of a text table with the verdict of the empty gate and, given settings, of the size gate."""
     text = F.col("text")
     size = F.octet_length(text).cast("bigint")
     gated = compute_once(
         df.select(*ids, F.col(text_col).alias("text")).filter(text.isNotNull()),
         file_size_bytes=size,
-        error=gate_message(text, size, settings),
+        error=gate_message(text, size, settings) if settings else empty_message(text),
     )
     return gated.withColumn(
         "status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("skipped"))
@@ -208,5 +211,8 @@ def scan_table(
     taken = {"text", "chunks", *schemas.RESULT_COLUMNS}.intersection(ids)
     if taken:
         raise ValueError(f"Rename the id columns {sorted(taken)}; results use these names")
-    narrow = spread_small(df.select(*ids, text_col))
-    return scanner.scan_documents(gate_table(narrow, text_col, ids, scanner.settings), ids)
+    narrow = df.select(*ids, text_col)
+    if scanner.partitions is not None:
+        narrow = narrow.repartition(scanner.partitions)
+    settings = scanner.settings if scanner.limit_texts else None
+    return scanner.scan_documents(gate_table(narrow, text_col, ids, settings), ids)

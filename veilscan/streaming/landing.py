@@ -13,17 +13,18 @@ from veilscan.sources.files import scan_files
 
 
 def landing_files(
-    spark: SparkSession, directory: str, recursive: bool = True, max_files_per_trigger: int = 10_000
+    spark: SparkSession, directory: str, recursive: bool = True, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A stream of the text files that arrive in a directory."""
-    return (
+    """A stream of the text files that arrive in a directory; a rate of None takes all that there are."""
+    stream = (
         spark.readStream.format("binaryFile")
         .schema(schemas.FILES)
         .option("pathGlobFilter", text_glob())
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(directory)
     )
+    if max_files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    return stream.load(directory)
 
 
 def write_stream(
@@ -50,13 +51,14 @@ def scan_stream(
     scanner: Scanner = Scanner(),
     recursive: bool = True,
     trigger: dict | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Scan every file that lands in a directory by itself and append its result.
 
     Files without a byte are not seen by a stream. With a model scorer each micro-batch is scanned
     as a table and replaces its own ``batch_id`` directory, so a repeated batch writes nothing twice.
     """
-    files = landing_files(spark, landing, recursive)
+    files = landing_files(spark, landing, recursive, max_files_per_trigger)
     if not isinstance(scanner.scorer, ModelScorer):
         return write_stream(scan_files(files, scanner), directory, checkpoint, trigger)
 
