@@ -1,8 +1,7 @@
 """Groups of items that share a signature and pass an exact test, without all pairs of a group.
 
-Each signature has one leader. Items
-are tested against their leaders; what links is joined into components. Only pairs under one
-signature whose components still differ are then left to test, which makes the result complete:
+Each signature has one leader. Items are tested against their leaders; what links is joined into
+components. Only pairs under one signature whose components still differ are then left to test, which makes the result complete:
 two items that share a signature and would pass the test always end in one component.
 """
 
@@ -78,30 +77,24 @@ def members(signatures: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(item, root) of all ends of links (a, b): union-find as rounds of joins, over tables in the shared folder.
 
-    In each round every component points to the neighbour that comes first in an order drawn anew,
-    and links between components are renamed to what their ends point to, until none is left.
+    In each round every component points to the neighbour that comes first in an order by hash, and follows
+    the pointers for four steps. Links between components are renamed to what their ends point to,
+    until none is left; the renamings, one after the other, give the roots.
     """
     links = write_table(links.select("a", "b").distinct(), "links")
-    labels = links.select(F.col("a").alias("item")).union(links.select("b")).distinct().withColumn("root", F.col("item"))
-    labels = write_table(labels, "labels")
-    turn = 0
+    roots = links.select(F.col("a").alias("item")).union(links.select("b")).distinct().withColumn("root", F.col("item"))
     while not links.isEmpty():
-        turn += 1
         both = links.union(links.select("b", "a")).toDF("c", "other")
-        order = F.struct(F.xxhash64("other", F.lit(turn)).alias("o"), F.col("other").alias("c"))
-        own = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), F.col("c"))
+        order = F.struct(F.xxhash64("other").alias("o"), F.col("other").alias("c"))
+        own = F.struct(F.xxhash64("c").alias("o"), F.col("c"))
         to = both.groupBy("c").agg(F.min(order).alias("best")).select("c", F.least("best", own)["c"].alias("to"))
         to = write_table(to, "steps")
-        named = to.toDF("root", "to")
-        labels = write_table(
-            labels.join(named, "root", "left").select("item", F.coalesce("to", "root").alias("root")), "labels"
-        )
-        ends = links.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b")
-        links = write_table(
-            ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
-            "links",
-        )
-    return labels
+        two = to.join(to.toDF("to", "next"), "to").select("c", F.col("next").alias("to"))
+        four = write_table(two.join(two.toDF("to", "next"), "to").select("c", F.col("next").alias("to")), "steps")
+        roots = roots.join(four.toDF("root", "to"), "root", "left").select("item", F.coalesce("to", "root").alias("root"))
+        ends = links.join(four.toDF("a", "x"), "a").join(four.toDF("b", "y"), "b").filter("x != y")
+        links = write_table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    return write_table(roots, "roots")
 
 
 #: 64-bit words of a sketch.
@@ -136,23 +129,18 @@ def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: C
     rows = shared.select("sig", "item", "size").join(weights, "item").join(sketches.select("item", "sketch"), "item")
     rows = write_table(rows.withColumn("one", F.struct("weight", "item", "size", "sketch")), "weighted")
     most = rows.groupBy("sig").agg(F.max("one").alias("led"))
-    links, tested, roots = None, None, None
-    for leaders in (most, None):
-        own = _rooted(rows, roots)
-        if leaders is not None:
-            x = own.select("sig", "root", "item", "size", "sketch")
-            y = leaders.select("sig", "led.item", "led.size", "led.sketch")
-            y = _rooted(y, roots).select("sig", "root", "item", "size", "sketch")
-        else:
-            x = y = own.select("sig", "root", "item", "size", "sketch")
-        pairs = _open_pairs(x, y, percent, both_ways=leaders is not None)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        found = write_table(verify(pairs), "links")
-        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
-        roots = components(links)
-    return roots
+    leaders = most.select("sig", F.col("led.item").alias("root"), "led.item", "led.size", "led.sketch")
+    pairs = write_table(_open_pairs(_rooted(rows, None), leaders, percent), "pairs")
+    roots = components(verify(pairs))
+    left = _open_pairs(_rooted(rows, roots), None, percent).join(pairs, ["a", "b"], "left_anti")
+    links = write_table(verify(write_table(left, "pairs")), "links")
+    x, y = roots.toDF("a", "x"), roots.toDF("b", "y")
+    between = links.join(x, "a", "left").join(y, "b", "left")
+    merged = components(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    more = links.select(F.col("a").alias("item")).union(links.select("b")).distinct().join(roots, "item", "left_anti")
+    roots = roots.union(more.select("item", F.col("item").alias("root")))
+    roots = roots.join(merged.toDF("root", "to"), "root", "left").select("item", F.coalesce("to", "root").alias("root"))
+    return write_table(roots, "roots")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -161,12 +149,14 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
 
 
-def _open_pairs(x: DataFrame, y: DataFrame, percent: int, both_ways: bool) -> DataFrame:
-    """Pairs (a, b) with a < b under one signature whose roots differ and that could link."""
-    low, high = F.min("root").alias("low"), F.max("root").alias("high")
-    mixed = x.groupBy("sig").agg(low, high).filter("low != high").select("sig")
-    x = write_table(x.join(mixed, "sig"), "left")
-    y = y if both_ways else x
-    x, y = x.toDF("sig", "r", "p", "m", "v"), y.toDF("sig", "s", "q", "n", "w")
-    match = (x.sig == y.sig) & (F.col("r") != F.col("s") if both_ways else F.col("r") < F.col("s")) & _near(percent, "m", "n", "v", "w")
+def _open_pairs(x: DataFrame, y: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) with a < b under one signature whose roots differ and that could link; y: other rows than x."""
+    columns = ["sig", "root", "item", "size", "sketch"]
+    x = x.select(columns)
+    if y is None:
+        low, high = F.min("root").alias("low"), F.max("root").alias("high")
+        x = write_table(x.join(x.groupBy("sig").agg(low, high).filter("low != high").select("sig"), "sig"), "left")
+    once = F.col("r") != F.col("s") if y is not None else F.col("r") < F.col("s")
+    x, y = x.toDF("sig", "r", "p", "m", "v"), (x if y is None else y.select(columns)).toDF("sig", "s", "q", "n", "w")
+    match = (x.sig == y.sig) & once & _near(percent, "m", "n", "v", "w")
     return x.join(y, match).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
