@@ -29,14 +29,14 @@ def expected(path, values):
 def test_byte_ids():
     values, vocabulary = texts(), bpe.Vocabulary(BYTES)
     for words in ([], [b"the", b" the", b"ing", " é".encode(), b"a", b"aa", b"aaaa"]):
-        encoder = bpe.Encoder(vocabulary, bpe.Lexicon(np.frombuffer(bpe.build_lexicon(words, vocabulary), np.int64)))
+        encoder = bpe.Encoder(vocabulary, bpe.Lexicon(np.frombuffer(bpe.build_lexicon(words, vocabulary), np.int32)))
         assert [x.tolist() for x in encoder(values)] == expected(BYTES, values)
 
 
 def test_lexicon_shares_suffixes_and_finds_all():
     vocabulary = bpe.Vocabulary(BYTES)
     words = sorted({f"{a}{b}ing".encode() for a in "abcdefgh" for b in "klmnop"} | {b"a", b"ab"})
-    lexicon = bpe.Lexicon(np.frombuffer(bpe.build_lexicon(words, vocabulary), np.int64))
+    lexicon = bpe.Lexicon(np.frombuffer(bpe.build_lexicon(words, vocabulary), np.int32))
     assert len(lexicon.finals) < 12
     assert lexicon.find(words).tolist() == list(range(len(words)))
     assert lexicon.find([b"", b"x", b"abing"[:3], b"akin", b"akings"]).tolist() == [-1] * 5

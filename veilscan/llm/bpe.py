@@ -158,8 +158,10 @@ def build_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
             count += below[target]
         below[k] = count
     finals = np.array([x[0] for x in states], np.int64)
-    arrays = [np.array(x, np.int64) for x in (keys, targets, outputs, finals, np.cumsum(lengths) - lengths, lengths, ids)]
-    return b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+    if len(states) >= 1 << 23:
+        raise ValueError("too many states for 32-bit keys")
+    arrays = [np.array(x, np.int32) for x in (keys, targets, outputs, finals, np.cumsum(lengths) - lengths, lengths, ids)]
+    return b"".join([np.array([len(x) for x in arrays], np.int32).tobytes(), *(x.tobytes() for x in arrays)])
 
 
 class Lexicon:
@@ -180,7 +182,7 @@ class Lexicon:
             with open(f"{path}-{os.getpid()}", "wb") as file:
                 file.write(data)
             os.replace(file.name, path)
-        return cls(np.memmap(path, np.int64, "r"))
+        return cls(np.memmap(path, np.int32, "r"))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Places of words in the list of id sequences, -1 for unknown ones."""
@@ -196,7 +198,7 @@ class Lexicon:
             hit = own[ended & (self.finals[state] == 1)]
             out[hit] = total[hit]
             own, state = own[~ended], state[~ended]
-            key = state << 8 | data[starts[own] + depth]
+            key = (state << 8 | data[starts[own] + depth]).astype(np.int32)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             known = self.keys[at] == key
             own, at = own[known], at[known]
@@ -226,7 +228,7 @@ class Encoder:
         kind = np.repeat(np.minimum(place, 0), lengths)
         ids = np.empty(len(kind), np.int64)
         ids[kind == -1] = merged_ids
-        ids[kind == 0] = self.lexicon.ids[ranges(self.lexicon.starts[place[seen]], lengths[seen])]
+        ids[kind == 0] = self.lexicon.ids[ranges(self.lexicon.starts[place[seen]].astype(np.int64), lengths[seen])]
         ids[kind == -2] = [special[w] for w in words if w in special]
         return lengths, ids
 
