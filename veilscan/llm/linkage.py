@@ -110,11 +110,14 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _sizes(percent: int, m: str, n: str) -> F.Column:
+    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
+
+
 def _near(percent: int, m: str, n: str, x: str, y: str) -> F.Column:
     """Whether sizes and sketches leave room for a Jaccard similarity of percent."""
-    sizes = F.least(m, n) * 100 >= F.greatest(m, n) * percent
     bits = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH_WORDS)]
-    return sizes & (sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(m) + F.col(n)) * (100 - percent))
+    return _sizes(percent, m, n) & (sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(m) + F.col(n)) * (100 - percent))
 
 
 def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -124,15 +127,17 @@ def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: C
     leader is the item that shares the most signatures with others: in a group of copies most likely
     the original.
     """
+    sketches = sketches.select("item", "sketch")
     counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     weights = shared.join(counts, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
-    rows = shared.select("sig", "item", "size").join(weights, "item").join(sketches.select("item", "sketch"), "item")
-    rows = write_table(rows.withColumn("one", F.struct("weight", "item", "size", "sketch")), "weighted")
-    most = rows.groupBy("sig").agg(F.max("one").alias("led"))
-    leaders = most.select("sig", F.col("led.item").alias("root"), "led.item", "led.size", "led.sketch")
-    pairs = write_table(_open_pairs(_rooted(rows, None), leaders, percent), "pairs")
+    rows = shared.select("sig", "item", "size")
+    led = F.max(F.struct("weight", "item", "size")).alias("led")
+    most = rows.join(weights, "item").groupBy("sig").agg(led).select("sig", F.col("led.item").alias("q"), F.col("led.size").alias("n"))
+    led = rows.toDF("sig", "p", "m").join(most, "sig").filter("p != q").filter(_sizes(percent, "m", "n")).select("p", "q", "m", "n").distinct()
+    led = led.join(sketches.toDF("p", "v"), "p").join(sketches.toDF("q", "w"), "q").filter(_near(percent, "m", "n", "v", "w"))
+    pairs = write_table(led.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
     roots = components(verify(pairs))
-    left = _open_pairs(_rooted(rows, roots), None, percent).join(pairs, ["a", "b"], "left_anti")
+    left = _open_pairs(_rooted(rows, roots), sketches, percent).join(pairs, ["a", "b"], "left_anti")
     links = write_table(verify(write_table(left, "pairs")), "links")
     x, y = roots.toDF("a", "x"), roots.toDF("b", "y")
     between = links.join(x, "a", "left").join(y, "b", "left")
@@ -143,20 +148,16 @@ def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: C
     return write_table(roots, "roots")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return rows.withColumn("root", F.col("item"))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
 
 
-def _open_pairs(x: DataFrame, y: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) with a < b under one signature whose roots differ and that could link; y: other rows than x."""
-    columns = ["sig", "root", "item", "size", "sketch"]
-    x = x.select(columns)
-    if y is None:
-        low, high = F.min("root").alias("low"), F.max("root").alias("high")
-        x = write_table(x.join(x.groupBy("sig").agg(low, high).filter("low != high").select("sig"), "sig"), "left")
-    once = F.col("r") != F.col("s") if y is not None else F.col("r") < F.col("s")
-    x, y = x.toDF("sig", "r", "p", "m", "v"), (x if y is None else y.select(columns)).toDF("sig", "s", "q", "n", "w")
-    match = (x.sig == y.sig) & once & _near(percent, "m", "n", "v", "w")
+def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with a < b under one signature whose roots differ and that could link."""
+    low, high = F.min("root").alias("low"), F.max("root").alias("high")
+    mixed = rows.groupBy("sig").agg(low, high).filter("low != high").select("sig")
+    left = rows.select("sig", "root", "item", "size").join(mixed, "sig").join(sketches, "item")
+    left = write_table(left.select("sig", "root", "item", "size", "sketch"), "left")
+    x, y = left.toDF("sig", "r", "p", "m", "v"), left.toDF("sig", "s", "q", "n", "w")
+    match = (x.sig == y.sig) & (F.col("r") < F.col("s")) & _near(percent, "m", "n", "v", "w")
     return x.join(y, match).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
