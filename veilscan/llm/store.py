@@ -65,7 +65,7 @@ def sum_arrays(rows: DataFrame, width: int, dtype: str, bits: bool = False) -> n
         .mapInArrow(lambda it: _merge(it, dtype, bits), "chunk int, data binary")
     )
     out = np.zeros(width, dtype)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # width / CHUNK rows, whatever the input
         part = np.frombuffer(row.data, dtype)
         out[row.chunk * CHUNK : row.chunk * CHUNK + len(part)] = part
     return out
