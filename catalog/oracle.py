@@ -567,17 +567,34 @@ FROM src s JOIN (SELECT id, count(*) AS n FROM chunks GROUP BY id) k ON k.id = s
 LEFT JOIN (SELECT id, count(*) AS n, list({{'text': text, 'label': label, 'score': score,
              'start': s, 'end': e}} ORDER BY ord) AS l FROM entities GROUP BY id) x
   ON x.id = s.id"""
-    out["unsupported_labels"] = f"""{document_scan}
-SELECT label, count(*) AS requested FROM (
-  SELECT unnest({pack(SCAN_LABELS)}) AS label FROM documents)
-WHERE label NOT IN ({quoted(sorted({label for label, _, _ in PATTERNS}))}) GROUP BY label"""
+    known = quoted(sorted({label.lower() for label, _, _ in PATTERNS}))
+    out["unsupported_labels"] = f"""SELECT label, count(*) AS requested FROM (
+  SELECT unnest(string_split(labels, '|')) AS label FROM ({RESOLVE}))
+WHERE lower(label) NOT IN ({known}) GROUP BY label"""
     out["model_scan"] = f"""{scan_ctes("documents", "doc_id", "text", labels=["person", "email"],
                                        size=1000, filters=False, tokens=MODEL_TOKENS)}
 SELECT id AS doc_id, label, s AS span_start, e AS span_end,
        CAST(round(score * 1000) AS INTEGER) AS score_mille FROM entities"""
+    files = f"""{scan_ctes("documents", "doc_id", "text")},
+files AS (
+  SELECT id % 8 AS kind, coalesce(n, 0) AS n, k, CAST(strlen(s.text) AS BIGINT) AS bytes,
+    CASE id % 8 WHEN 1 THEN concat('_', id, '.txt') WHEN 2 THEN concat('.', id, '.env')
+      WHEN 3 THEN concat(id, '.Json') ELSE concat(id, '.log') END AS name
+  FROM src s
+  LEFT JOIN (SELECT id, count(*) AS n FROM entities GROUP BY id) c USING (id)
+  LEFT JOIN (SELECT id, count(*) AS k FROM chunks GROUP BY id) d USING (id))
+SELECT name, CASE kind WHEN 5 THEN 'error' WHEN 6 THEN 'skipped' ELSE 'success' END AS status,
+  CASE WHEN kind IN (5, 6) THEN 0 ELSE n END AS pii_count,
+  CASE kind WHEN 5 THEN NULL WHEN 6 THEN 0 ELSE bytes END AS file_size_bytes,
+  CAST(CASE WHEN kind IN (5, 6) THEN 0 ELSE k END AS INTEGER) AS chunks_processed,
+  CASE kind WHEN 5 THEN 'Unable to decode file' WHEN 6 THEN 'Empty file' END AS why
+FROM files WHERE kind <> 7"""
+    out["scan_files"] = files
+    out["scan_flat"] = f"{files} AND kind <> 3"
     out["scan_path"] = f"""{scan_ctes("documents", "doc_id", "text", size=2_000_000_000)}
 SELECT label, count(*) AS entities FROM entities GROUP BY label"""
-    out["write_results"] = f"""{page_results}
+    out["write_results"] = out["scan_results"]
+    out["write_summary"] = f"""{page_results}
 SELECT count(*) AS total_files,
        count(*) FILTER (status = 'success' AND pii_count > 0) AS files_with_pii,
        CAST(coalesce(sum(pii_count) FILTER (status = 'success'), 0) AS BIGINT) AS total_pii,

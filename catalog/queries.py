@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,6 +19,7 @@ from veilscan import (
     report,
     report_rows,
     scan_directory,
+    scan_stream,
     scan_table,
     summarise,
     write_response,
@@ -30,7 +30,7 @@ from veilscan.functions.labels import (
     distinct_labels,
     profile_column,
     resolve_labels_column,
-    unsupported_labels,
+    unsupported_labels_column,
 )
 from veilscan.functions.parsing import parse_bool, parse_float, parse_int, parse_list
 from veilscan.operators import false_positives as fp
@@ -47,8 +47,9 @@ from veilscan.operators.gates import is_text_path
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
 from veilscan.sources.files import decode_bytes
+from veilscan.sources.listing import absolute, write_file
+from veilscan.sources.shared import shared_folder
 from veilscan.sources.sinks import result_json
-from veilscan.streaming.landing import write_stream
 
 SCANNER = Scanner.for_request(log=True)
 WHOLE_FILE = 2_000_000_000
@@ -136,14 +137,6 @@ def toy_model() -> ModelScorer:
     return ModelScorer(make_tokenizer, make_model, ["O", "person", "email", "date"])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see, under the one the cluster names for checkpoints, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/veilscan-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -206,7 +199,7 @@ def q_profile_lookup(spark, sf_dir):
     return requests.withColumn("profile", profile_column(F.col("name")))
 
 
-def q_resolve_labels(spark, sf_dir):
+def _label_requests(spark, sf_dir):
     requests = _orders(
         spark,
         sf_dir,
@@ -218,8 +211,11 @@ def q_resolve_labels(spark, sf_dir):
         lg="o_orderkey % 5 = 0",
     )
     labels = resolve_labels_column(*map(F.col, ("custom", "name", "ext", "priv", "lg")))
-    resolved = compute_once(requests, resolved=labels)
-    return resolved.select(
+    return compute_once(requests, resolved=labels)
+
+
+def q_resolve_labels(spark, sf_dir):
+    return _label_requests(spark, sf_dir).select(
         "o_orderkey",
         F.array_join("resolved", "|").alias("labels"),
         F.when(F.col("resolved").isNotNull(), F.size("resolved")).cast("bigint").alias("n_labels"),
@@ -520,7 +516,7 @@ def q_scan_summary(spark, sf_dir):
 
 
 def q_status_counts(spark, sf_dir):
-    return count_statuses(_scan_pages(spark, sf_dir))
+    return count_statuses(gate_table(table(spark, sf_dir, "pages"), "html", ["page_id"]))
 
 
 def q_by_label(spark, sf_dir):
@@ -560,20 +556,28 @@ def q_response_json(spark, sf_dir):
     return results.select("doc_id", result_json(*columns).alias("json"))
 
 
-def q_write_results(spark, sf_dir):
+def _written_results(spark, sf_dir, format):
     folder = shared_folder(spark)
-    write_response(_scan_pages(spark, sf_dir), folder, format="parquet")
+    results = _scan_pages(spark, sf_dir)
+    write_response(results, folder, format=format)
+    return folder, results.schema
+
+
+def q_write_results(spark, sf_dir):
+    folder, schema = _written_results(spark, sf_dir, "json")
+    return spark.read.schema(schema).json(f"{folder}/results").drop("entities")
+
+
+def q_write_summary(spark, sf_dir):
+    folder, _ = _written_results(spark, sf_dir, "parquet")
     return spark.read.parquet(f"{folder}/summary")
 
 
 def q_unsupported_labels(spark, sf_dir):
-    missing = unsupported_labels(SCANNER.labels, SCANNER.scorer.vocabulary)
-    requests = _documents(spark, sf_dir).select(F.explode(F.lit(list(SCANNER.labels))).alias("label"))
-    return (
-        requests.filter(F.col("label").isin(missing))
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("requested"))
-    )
+    requests = _label_requests(spark, sf_dir)
+    missing = unsupported_labels_column(F.col("resolved"), SCANNER.scorer.vocabulary)
+    labels = requests.select(F.explode(missing).alias("label"))
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("requested"))
 
 
 def q_model_scan(spark, sf_dir):
@@ -608,14 +612,63 @@ def q_scan_path(spark, sf_dir):
     return count_labels(scan_directory(spark, folder, scanner=scanner))
 
 
+def _write_files(files: DataFrame, folder: str) -> str:
+    """Write rows (name, content) as files of a folder, from the executors; a repeated task writes the same."""
+    folder = absolute(files.sparkSession, folder)
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                write_file(f"{folder}/{name}", content)
+            yield batch.select(["name"])
+
+    files.select("name", "content").mapInArrow(write, "name string").count()
+    return folder
+
+
+def _as_files(spark, sf_dir) -> str:
+    """The documents as files: hidden, nested, undecodable, without a byte, and with an extension that isn't scanned."""
+    kind = F.col("doc_id") % 8
+    name = (
+        F.when(kind == 1, F.format_string("_%d.txt", "doc_id"))
+        .when(kind == 2, F.format_string(".%d.env", "doc_id"))
+        .when(kind == 3, F.format_string(".d%d/_e/%d.Json", F.col("doc_id") % 5, "doc_id"))
+        .when(kind == 7, F.format_string("%d.bin", "doc_id"))
+        .otherwise(F.format_string("%d.log", "doc_id"))
+    )
+    text = F.encode("text", "UTF-8")
+    broken = F.concat(F.unhex(F.lit("FFFE00D8")), text)
+    content = F.when(kind == 5, broken).when(kind == 6, F.lit(b"")).otherwise(text)
+    return _write_files(
+        _documents(spark, sf_dir).select(name.alias("name"), content.alias("content")), shared_folder(spark)
+    )
+
+
+def _file_rows(results: DataFrame) -> DataFrame:
+    why = F.regexp_extract("error", "Empty file|Unable to [a-z]+ file", 0).alias("why")
+    name = F.substring_index("file", "/", -1).alias("name")
+    return results.select(name, "status", "pii_count", "file_size_bytes", "chunks_processed", why)
+
+
+def q_scan_files(spark, sf_dir):
+    return _file_rows(scan_directory(spark, _as_files(spark, sf_dir), scanner=SCANNER))
+
+
+def q_scan_flat(spark, sf_dir):
+    return _file_rows(scan_directory(spark, _as_files(spark, sf_dir), recursive=False, scanner=SCANNER))
+
+
 def q_scan_stream(spark, sf_dir):
-    folder = shared_folder(spark)
-    schema = _documents(spark, sf_dir).schema
-    # A glob, as the table is one file or a directory of files.
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    results = scan_table(arriving, "text", "doc_id", SCANNER)
-    write_stream(results, f"{folder}/results", f"{folder}/checkpoint").awaitTermination()
-    return _flat(spark.read.schema(results.schema).parquet(f"{folder}/results"), "doc_id")
+    """Documents that land as files in two lots, each scanned by a run of the stream."""
+    folder, landing = shared_folder(spark), shared_folder(spark)
+    name = F.format_string("%d.txt", "doc_id").alias("name")
+    for lot in range(2):
+        documents = _documents(spark, sf_dir).filter(F.col("doc_id") % 2 == lot)
+        _write_files(documents.select(name, F.encode("text", "UTF-8").alias("content")), landing)
+        scan_stream(spark, landing, f"{folder}/results", f"{folder}/checkpoint", SCANNER).awaitTermination()
+    results = spark.read.parquet(f"{folder}/results")
+    doc_id = F.regexp_extract("file", r"([0-9]+)\.txt\z", 1).cast("bigint")
+    return _flat(results.withColumn("doc_id", doc_id), "doc_id")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

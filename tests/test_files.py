@@ -2,9 +2,10 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from veilscan import Scanner, scan_directory, scan_file, scan_path, summarise
+from veilscan import Scanner, scan_directory, scan_file, scan_files, scan_path, summarise
 from veilscan.operators.gates import is_text_path
-from veilscan.sources.files import decode_bytes, list_directory, listed_paths
+from veilscan.sources.files import decode_bytes, list_directory, scan_listed
+from veilscan.sources.listing import LISTED, _list, list_tree
 
 MAIL = "write to a.b@x.org today"
 
@@ -76,10 +77,45 @@ def test_flat_listing(spark, tree):
     assert "sub/deep/n.Json" not in rows and len(rows) == 9
 
 
-def test_without_join(spark, tree):
-    plain = scan_directory(spark, str(tree), scanner=SMALL, report_unreadable=False)
-    joined = scan_directory(spark, str(tree), scanner=SMALL).filter("file_size_bytes is distinct from 0")
-    assert sorted(plain.collect(), key=repr) == sorted(joined.collect(), key=repr)
+def test_spark_reader_gives_the_same(spark, tree):
+    plain = scan_files(list_directory(spark, str(tree)), SMALL)
+    own = scan_directory(spark, str(tree), scanner=SMALL).filter("file_size_bytes is distinct from 0")
+    assert sorted(plain.collect(), key=repr) == sorted(own.collect(), key=repr)
+
+
+def test_hidden_names(spark, tmp_path):
+    names = ["__init__.py", "_config.yml", ".prod.env", "ok.txt", ".git/_x/a.md"]
+    (tmp_path / ".git" / "_x").mkdir(parents=True)
+    for name in [*names, ".env"]:
+        (tmp_path / name).write_text(MAIL)
+    rows = by_name(scan_path(spark, str(tmp_path)), tmp_path)
+    assert {name: row.pii_count for name, row in rows.items()} == dict.fromkeys(names, 1)
+    (row,) = scan_path(spark, str(tmp_path / "__init__.py")).collect()
+    assert (row.status, row.pii_count) == ("success", 1)
+
+
+def test_links(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "a.txt").write_text(MAIL)
+    (tmp_path / "file.txt").symlink_to(tmp_path / "real" / "a.txt")
+    (tmp_path / "dir.txt").symlink_to(tmp_path / "real")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "none")
+    rows = by_name(scan_directory(spark, str(tmp_path)), tmp_path)
+    assert {name: row.status for name, row in rows.items()} == {
+        "real/a.txt": "success", "file.txt": "success", "dir.txt": "error", "gone.txt": "error",
+    }
+
+
+def test_directories_that_cannot_be_listed_become_errors(spark, tmp_path):
+    listed = spark.createDataFrame([(f"file:{tmp_path}/none",)], "path string").mapInPandas(_list, LISTED)
+    (row,) = scan_listed(listed, Scanner()).collect()
+    assert (row.file, row.status, row.file_size_bytes) == (f"file:{tmp_path}/none", "error", None)
+    assert "Unable to list directory" in row.error
+
+
+def test_empty_directory(spark, tmp_path):
+    assert scan_directory(spark, str(tmp_path)).collect() == []
 
 
 def test_single_file_ignores_extension(spark, tree):
@@ -90,6 +126,8 @@ def test_single_file_ignores_extension(spark, tree):
 def test_single_file_failure_is_raised(spark, tree):
     with pytest.raises(Exception, match="Unable to decode"):
         scan_file(spark, str(tree / "broken.txt")).collect()
+    with pytest.raises(Exception, match="Unable to decode"):
+        scan_file(spark, str(tree / "broken.txt")).select("file", "pii_count").collect()
 
 
 def test_missing_path(spark, tmp_path):
@@ -120,9 +158,11 @@ def test_names_that_need_quoting(spark, tmp_path):
     }
 
 
-def test_listed_paths_include_every_file(spark, tree):
-    files = list_directory(spark, str(tree))
-    assert listed_paths(files).count() == files.count() + 1
+def test_listing_includes_every_file(spark, tree):
+    listed = list_tree(spark, str(tree))
+    assert listed.count() == 12
+    assert {row.kind for row in listed.collect()} == {"file"}
+    assert listed.filter("path like '%/a.txt'").first().length == len(MAIL)
 
 
 def test_text_paths(evaluate):

@@ -44,6 +44,11 @@ def test_counts_are_combined_before_the_shuffle(spark):
         assert "partial_count" in text
 
 
+def test_counting_statuses_scans_nothing(spark):
+    text = plan(queries.q_status_counts(spark, SF_DIR))
+    assert "regexp" not in text.lower() and "chunk" not in text
+
+
 def test_model_scan_collects_by_document(spark):
     text = plan(queries.q_model_scan(spark, SF_DIR))
     assert "ObjectHashAggregate" in text or "SortAggregate" in text

@@ -154,3 +154,9 @@ def unsupported_labels(labels: Sequence[str], vocabulary: Sequence[str]) -> list
     """Requested labels that the scorer can never produce."""
     known = {label.lower() for label in vocabulary}
     return [label for label in labels if label.lower() not in known]
+
+
+def unsupported_labels_column(labels: Column, vocabulary: Sequence[str]) -> Column:
+    """The same for the labels of each request row."""
+    known = F.lit([label.lower() for label in vocabulary])
+    return F.filter(labels, lambda label: ~F.array_contains(known, F.lower(label)))

@@ -9,7 +9,7 @@ from veilscan import schemas
 from veilscan.operators.gates import text_glob
 from veilscan.operators.model_scorer import ModelScorer
 from veilscan.plans.scan import Scanner
-from veilscan.sources.files import scan_files
+from veilscan.sources.files import gate_files, scan_files
 
 
 def landing_files(
@@ -57,17 +57,19 @@ def scan_stream(
 
     Files without a byte are not seen by a stream. With a model scorer each micro-batch is scanned
     as a table and replaces its own ``batch_id`` directory, so a repeated batch writes nothing twice.
+    Files are gated on the stream, so that those over the limit are not read.
     """
     files = landing_files(spark, landing, recursive, max_files_per_trigger)
     if not isinstance(scanner.scorer, ModelScorer):
         return write_stream(scan_files(files, scanner), directory, checkpoint, trigger)
 
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        results = scan_files(batch, scanner)
+        results = scanner.scan_documents(batch, ["file"])
         results.write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
 
     return (
-        files.writeStream.foreachBatch(scan_batch)
+        gate_files(files, scanner.settings)
+        .writeStream.foreachBatch(scan_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
