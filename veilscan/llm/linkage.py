@@ -74,6 +74,11 @@ def members(signatures: DataFrame) -> DataFrame:
     return write_table(rows, "members")
 
 
+def _followed(to: DataFrame) -> DataFrame:
+    """Pointers (c, to) with twice the steps; a table of known size, so that small ones join without a shuffle."""
+    return write_table(to.join(to.toDF("to", "next"), "to").select("c", F.col("next").alias("to")), "steps")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(item, root) of all ends of links (a, b): union-find as rounds of joins, over tables in the shared folder.
 
@@ -88,9 +93,7 @@ def components(links: DataFrame) -> DataFrame:
         order = F.struct(F.xxhash64("other").alias("o"), F.col("other").alias("c"))
         own = F.struct(F.xxhash64("c").alias("o"), F.col("c"))
         to = both.groupBy("c").agg(F.min(order).alias("best")).select("c", F.least("best", own)["c"].alias("to"))
-        to = write_table(to, "steps")
-        two = to.join(to.toDF("to", "next"), "to").select("c", F.col("next").alias("to"))
-        four = write_table(two.join(two.toDF("to", "next"), "to").select("c", F.col("next").alias("to")), "steps")
+        four = _followed(_followed(write_table(to, "steps")))
         roots = roots.join(four.toDF("root", "to"), "root", "left").select("item", F.coalesce("to", "root").alias("root"))
         ends = links.join(four.toDF("a", "x"), "a").join(four.toDF("b", "y"), "b").filter("x != y")
         links = write_table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
