@@ -85,3 +85,8 @@ def test_empty(nothing):
 def test_clash(messy):
     with pytest.raises(ValueError):
         L.dedup_lines(messy, dropped_col="item")
+
+
+def test_repeats_within_lines(spark):
+    rows = [(1, "=" * 20 + "\n" + "ab" * 9), (2, "=" * 90 + "\n" + "ab" * 40), (3, "=" * 9 + "\nsomething else")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import kernels as K
-from veilscan.llm.linkage import linked_items, members, sketch
+from veilscan.llm.linkage import SKETCH_FIELDS, alike, linked_items, members, sketch_columns
 from veilscan.llm.store import array_rows, bloom_of, in_bloom, sum_arrays, text_or_empty, write_table
 
 #: Counters of the frequency sketch: 8 MiB, whatever the input.
@@ -131,24 +131,23 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in K.slices(whole, "text")):
-            done, sigs, high, low, sizes = set(), [], [], [], []
+            done, sigs, high, low = set(), [], [], []
             for _, tokens in _sets(batch, n):
                 key = K.set_key(tokens)
                 if key not in done:
                     done.add(key)
                     sigs.append(signatures(tokens, sent.value, frequent, percent))
-                    high.append(key[0]), low.append(key[1]), sizes.append(len(tokens))
+                    high.append(key[0]), low.append(key[1])
             each = [len(x) for x in sigs]
             if sum(each):
                 yield pa.record_batch(
                     {
                         "sig": pa.array(np.concatenate(sigs).view(np.int64)),
                         "item": K.binary_keys(np.repeat(np.array(high, K.U), each), np.repeat(np.array(low, K.U), each)),
-                        "size": pa.array(np.repeat(np.array(sizes, np.int32), each)),
                     }
                 )
 
-    shared = members(docs.select("text").mapInArrow(sign, "sig long, item binary, size int"))
+    shared = members(docs.select("text").mapInArrow(sign, "sig long, item binary"))
     bloom = spark.sparkContext.broadcast(bloom_of(shared.select("item").distinct()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +160,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
             if found:
                 high, low = np.array(list(found), K.U).T
                 tokens = pa.array([x.tobytes() for x in found.values()], pa.binary())
-                sketches = pa.array([sketch(x) for x in found.values()], pa.list_(pa.int64()))
-                yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": tokens, "sketch": sketches})
+                yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": tokens} | sketch_columns(list(found.values())))
 
-    sets = docs.select("text").mapInArrow(gather, "item binary, tokens binary, sketch array<long>")
+    sets = docs.select("text").mapInArrow(gather, f"item binary, tokens binary, {SKETCH_FIELDS}")
     sets = write_table(sets.dropDuplicates(["item"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -187,7 +185,5 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), K.U), np.frombuffer(y.as_buffer(), K.U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
+            keep[k] = alike(np.frombuffer(x.as_buffer(), K.U), np.frombuffer(y.as_buffer(), K.U), percent)
         yield batch.select(["a", "b"]).filter(pa.array(keep))

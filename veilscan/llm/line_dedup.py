@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm import kernels as K
-from veilscan.llm.linkage import linked_items, members, sketch
+from veilscan.llm.linkage import SKETCH_FIELDS, alike, linked_items, members, sketch_columns
 from veilscan.llm.store import bloom_of, fresh, in_bloom, write_table
 
 SHINGLE = 8
@@ -88,7 +88,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "sig": pa.array(bands.view(np.int64).ravel()),
                 "item": pa.array(np.repeat(keys, BANDS)),
-                "size": pa.array(np.repeat(sizes.astype(np.int32), BANDS)),
             }
         )
 
@@ -112,11 +111,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linking(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                x, y = np.unique(shingles(K.code_points(x))), np.unique(shingles(K.code_points(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            left, right = batch["x"].to_pylist(), batch["y"].to_pylist()
+            sets = {line: np.unique(shingles(K.code_points(line))) for line in {*left, *right}}
+            keep = [alike(sets[x], sets[y], percent) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -125,7 +122,7 @@ def _linking(percent: int):
 def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
     """(item, root) of the lines of a column text that link with another line; items are line_key()s."""
     texts = texts.select("text")
-    shared = members(texts.mapInArrow(_sign, "sig long, item long, size int"))
+    shared = members(texts.mapInArrow(_sign, "sig long, item long"))
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_of(shared.select("item").distinct()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +132,10 @@ def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
             keys = np.array([line_key(line) for line in lines], np.int64)
             keep = pa.array(in_bloom(bloom.value, keys)) if lines else pa.array([], pa.bool_())
             keys, lines = pa.array(keys).filter(keep), pa.array(lines, pa.string()).filter(keep)
-            sketches = [sketch(np.unique(shingles(K.code_points(line)))) for line in lines.to_pylist()]
-            yield pa.record_batch({"item": keys, "body": lines, "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+            sets = [np.unique(shingles(K.code_points(line))) for line in lines.to_pylist()]
+            yield pa.record_batch({"item": keys, "body": lines} | sketch_columns(sets))
 
-    bodies = texts.mapInArrow(gather, "item long, body string, sketch array<long>")
+    bodies = texts.mapInArrow(gather, f"item long, body string, {SKETCH_FIELDS}")
     bodies = write_table(bodies.dropDuplicates(["item"]), "bodies")
 
     lines = bodies.select("item", "body")

@@ -26,10 +26,10 @@ def _changed(array: pa.Array, before: object) -> pa.Array:
     return pa.concat_arrays([first, pc.not_equal(array.slice(1), array.slice(0, len(array) - 1))])
 
 
-def _lead(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Members of signatures with two items at least, each with its leader; rows come sorted."""
+def _shared(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The distinct rows of signatures with two items at least; rows come sorted."""
     sig = last = None
-    held = None  # the leader of the run that goes on from batch to batch, and whether it is out
+    held = None  # the first row of the run that goes on from batch to batch, and whether it is out
     out = False
     for batch in batches:
         if not batch.num_rows:
@@ -40,38 +40,27 @@ def _lead(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         table = pa.Table.from_batches([batch])
         firsts = np.flatnonzero(new_sig.to_numpy(zero_copy_only=False))
         more = np.flatnonzero(pc.and_not(new, new_sig).to_numpy(zero_copy_only=False))
-        if held is not None:  # the carried leader is row 0
+        if held is not None:  # the carried row is row 0
             table = pa.concat_tables([held, table])
             firsts, more = np.concatenate([[0], firsts + 1]), more + 1
         of = firsts[np.searchsorted(firsts, more, "right") - 1]
-        leaders = np.unique(of)
+        begun = np.unique(of)
         if out and held is not None:
-            leaders = leaders[leaders > 0]
-        rows, led = np.concatenate([leaders, more]), np.concatenate([leaders, of])
+            begun = begun[begun > 0]
+        rows = np.concatenate([begun, more])
         if len(rows):
-            a, b = table.take(rows), table.take(led)
-            columns = [a["sig"], b["item"], a["item"], a["size"], b["size"]]
-            yield from pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()
+            yield from table.take(rows).cast(schema).combine_chunks().to_batches()
         k = int(firsts[-1])
         out = bool(len(of) and of[-1] == k) or (out and k == 0 and held is not None)
         held = table.slice(k, 1).combine_chunks()
 
 
 def members(signatures: DataFrame) -> DataFrame:
-    """(sig, leader, item, size, leader_size) of all signatures that two items share."""
+    """(sig, item) of all signatures that two items share."""
     kind = signatures.schema["item"].dataType.simpleString()
-    arrow = pa.binary() if kind == "binary" else pa.int64()
-    schema = pa.schema(
-        [("sig", pa.int64()), ("leader", arrow), ("item", arrow), ("size", pa.int32()), ("leader_size", pa.int32())]
-    )
-    rows = (
-        signatures.select("sig", "item", "size", F.xxhash64("sig", "item").alias("turn"))
-        .repartition("sig")
-        .sortWithinPartitions("sig", "turn", "item")
-        .select("sig", "item", "size")
-        .mapInArrow(lambda it: _lead(it, schema), f"sig bigint, leader {kind}, item {kind}, size int, leader_size int")
-    )
-    return write_table(rows, "members")
+    schema = pa.schema([("sig", pa.int64()), ("item", pa.binary() if kind == "binary" else pa.int64())])
+    rows = signatures.select("sig", "item").repartition("sig").sortWithinPartitions("sig", "item")
+    return write_table(rows.mapInArrow(lambda it: _shared(it, schema), f"sig bigint, item {kind}"), "members")
 
 
 def _followed(to: DataFrame) -> DataFrame:
@@ -100,48 +89,91 @@ def components(links: DataFrame) -> DataFrame:
     return write_table(roots, "roots")
 
 
-#: 64-bit words of a sketch.
+#: 64-bit words of a sketch that goes with each signature.
 SKETCH_WORDS = 4
+SKETCH_FIELDS = "size int, sketch array<long>, wide array<long>"
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
+def sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> list[int]:
     """For a set of 64-bit hashes: for each bit whether an odd number of members has it, as signed 64-bit words.
 
     Two sets differ in as many members at least as their sketches in bits, which rules out pairs exactly.
     """
-    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _sizes(percent: int, m: str, n: str) -> F.Column:
-    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
+def sketch_columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """SKETCH_FIELDS of sets; a wide sketch has two bits or more a member."""
+    wide = [sketch(x, max(SKETCH_WORDS, 1 << (-(-len(x) // 32) - 1).bit_length())) for x in sets]
+    words = pa.list_(pa.int64())
+    return {
+        "size": pa.array([len(x) for x in sets], pa.int32()),
+        "sketch": pa.array([sketch(x) for x in sets], words),
+        "wide": pa.array(wide, words),
+    }
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, not empty, have a Jaccard similarity of percent."""
+    if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
+        return False
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _near(percent: int, bits: F.Column) -> F.Column:
+    """Whether sizes m, n and differing bits leave room for a Jaccard similarity of percent."""
+    sizes = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
+    return sizes & (bits * (100 + percent) <= (F.col("m") + F.col("n")) * (100 - percent))
+
+
+def _bits() -> F.Column:
+    """Bits in which sketches v, w differ."""
+    bits = [F.bit_count(F.col("v")[k].bitwiseXOR(F.col("w")[k])) for k in range(SKETCH_WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def _wide_bits() -> F.Column:
+    """Bits in which wide sketches v, w differ; the halves of one twice as long are laid on each other. Others aren't compared."""
+    least = F.least(F.size("v"), F.size("w"))
+
+    def word(name: str, k: F.Column) -> F.Column:
+        return F.get(name, k).bitwiseXOR(F.coalesce(F.get(name, k + least), F.lit(0).cast("long")))
+
+    count = F.aggregate(
+        F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, k: n + F.bit_count(word("v", k).bitwiseXOR(word("w", k)))
+    )
+    return F.when(F.greatest(F.size("v"), F.size("w")) <= 2 * least, count).otherwise(0)
 
 
-def _near(percent: int, m: str, n: str, x: str, y: str) -> F.Column:
-    """Whether sizes and sketches leave room for a Jaccard similarity of percent."""
-    bits = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH_WORDS)]
-    return _sizes(percent, m, n) & (sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(m) + F.col(n)) * (100 - percent))
+def _closer(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide sketches don't rule out."""
+    own = sketches.select("item", "size", "wide")
+    both = pairs.join(own.toDF("a", "m", "v"), "a").join(own.toDF("b", "n", "w"), "b")
+    return both.filter(_near(percent, _wide_bits())).select("a", "b")
 
 
 def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(item, root) of linked items. sketches: (item, sketch) of all of them. verify: keeps those of the pairs (a, b) that link.
+    """(item, root) of linked items. sketches: (item, SKETCH_FIELDS) of all of them. verify: keeps those of the pairs (a, b) that link.
 
     Pairs whose sizes or sketches rule out a similarity of percent are never tested. A signature's
     leader is the item that shares the most signatures with others: in a group of copies most likely
     the original.
     """
-    sketches = sketches.select("item", "sketch")
+    narrow = sketches.select("item", "size", "sketch")
     counts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     weights = shared.join(counts, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
-    rows = shared.select("sig", "item", "size")
-    led = F.max(F.struct("weight", "item", "size")).alias("led")
-    most = rows.join(weights, "item").groupBy("sig").agg(led).select("sig", F.col("led.item").alias("q"), F.col("led.size").alias("n"))
-    led = rows.toDF("sig", "p", "m").join(most, "sig").filter("p != q").filter(_sizes(percent, "m", "n")).select("p", "q", "m", "n").distinct()
-    led = led.join(sketches.toDF("p", "v"), "p").join(sketches.toDF("q", "w"), "q").filter(_near(percent, "m", "n", "v", "w"))
-    pairs = write_table(led.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
-    roots = components(verify(pairs))
-    left = _open_pairs(_rooted(rows, roots), sketches, percent).join(pairs, ["a", "b"], "left_anti")
-    links = write_table(verify(write_table(left, "pairs")), "links")
+    led = F.max(F.struct("weight", "item")).alias("led")
+    most = shared.join(weights, "item").groupBy("sig").agg(led).select("sig", F.col("led.item").alias("q"))
+    led = shared.toDF("sig", "p").join(most, "sig").filter("p != q")
+    led = led.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    led = led.join(narrow.toDF("a", "m", "v"), "a").join(narrow.toDF("b", "n", "w"), "b").filter(_near(percent, _bits()))
+    pairs = write_table(led.select("a", "b"), "pairs")
+    roots = components(verify(_closer(pairs, sketches, percent)))
+    left = _open_pairs(_rooted(shared, roots), narrow, percent).join(pairs, ["a", "b"], "left_anti")
+    left = write_table(left, "pairs")
+    links = write_table(verify(_closer(left, sketches, percent)), "links")
     x, y = roots.toDF("a", "x"), roots.toDF("b", "y")
     between = links.join(x, "a", "left").join(y, "b", "left")
     merged = components(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
@@ -155,12 +187,12 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
 
 
-def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(rows: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with a < b under one signature whose roots differ and that could link."""
     low, high = F.min("root").alias("low"), F.max("root").alias("high")
     mixed = rows.groupBy("sig").agg(low, high).filter("low != high").select("sig")
-    left = rows.select("sig", "root", "item", "size").join(mixed, "sig").join(sketches, "item")
+    left = rows.select("sig", "root", "item").join(mixed, "sig").join(narrow, "item")
     left = write_table(left.select("sig", "root", "item", "size", "sketch"), "left")
     x, y = left.toDF("sig", "r", "p", "m", "v"), left.toDF("sig", "s", "q", "n", "w")
-    match = (x.sig == y.sig) & (F.col("r") < F.col("s")) & _near(percent, "m", "n", "v", "w")
-    return x.join(y, match).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    pairs = x.join(y, "sig").filter((F.col("r") < F.col("s")) & _near(percent, _bits()))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
