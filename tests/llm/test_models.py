@@ -50,6 +50,33 @@ def test_toxicity_ranks_toxic_documents(spark):
     assert np.mean([x.grade > 0 for x in got if x.toxic == 0]) < 0.01
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_toxicity_of_few_labels(spark, half):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.join(labels, "doc_id")
+    model = toxicity.learn(rows.filter(f"doc_id % 2 = {half}"))
+    got = toxicity.severity(rows.filter(f"doc_id % 2 = {1 - half}").drop("grade"), model).collect()
+    bad, good = [x.severity for x in got if x.toxic == 1], [x.severity for x in got if x.toxic == 0]
+    assert np.mean([b > g for b in bad for g in good]) > 0.9
+    assert np.mean([x.grade > 0 for x in got if x.toxic == 1]) > 0.6  # 36 of all 51 held-out toxic documents hold an insult that the other half has
+    assert np.mean([x.grade > 0 for x in got if x.toxic == 0]) < 0.01
+
+
+def test_toxicity_of_a_dozen_toxic_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [x for x in queries.op1_toxicity(spark, folder).collect() if x.doc_id in labels]
+    assert sum(x.toxic for x in got if labels[x.doc_id] == 1) >= 9 and not any(x.toxic for x in got if labels[x.doc_id] == 0)
+    assert {x.grade for x in got} == {0, 1, 2}
+
+
+def test_rare_words_of_toxic_rows_have_weight():
+    r = random.Random(3)
+    rows = [np.unique([*r.sample(range(100, 400), 20), *([k // 4] if k < 24 else [])]) for k in range(200)]
+    model = toxicity.fit(rows, np.array([int(k < 24) for k in range(200)]))
+    assert model.weights[:6].min() > 2 * np.abs(model.weights[100:400]).max()
+
+
 def test_ordinal_grades_and_expected_severity():
     r = random.Random(1)
     rows, grades = [], []

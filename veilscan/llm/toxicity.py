@@ -49,22 +49,26 @@ def features(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(words % K.U(PLACES)).astype(np.int64) for words in K.words_of(texts, marks=True)]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, penalty: float = 1e-5, telling: float = 7.0) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, least: float = 0.05, most: float = 100.0) -> Ordinal:
     """Fit by gradient steps (Adam) on the mean log loss of the grades.
 
-    Only places that tell something have a weight: the mean grade of the rows that hold one is at
-    least so many standard errors from the mean of all rows.
+    Each place of the rows has a weight. Its penalty falls from most to least with the standard
+    errors z between the share of grades over 0 in the rows that hold it and in all rows, as exp(-z^2 / 2):
+    the less likely a place is to tell that much by chance, the freer its weight. The more places
+    there are, the larger the z that it takes.
     """
     top = int(grades.max()) if len(grades) else 0
     if top == 0:
         return Ordinal(np.zeros(PLACES, np.float32), np.full(1, np.inf))
     owner, places = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)
     counts = np.bincount(places, minlength=PLACES)
-    sums = np.bincount(places, grades[owner].astype(float), PLACES)
-    good = (np.abs(sums - counts * grades.mean()) >= telling * grades.std() * np.sqrt(np.maximum(counts, 1)))[places]
-    owner, places = owner[good], places[good]
-    used, spot = np.unique(places, return_inverse=True)
+    used = np.flatnonzero(counts)
+    spot = (np.cumsum(counts > 0) - 1)[places]
+    counts = counts[used]
     shares = np.array([(grades > j).mean() for j in range(top)]).clip(1e-6, 1 - 1e-6)
+    more = np.bincount(spot, (grades > 0)[owner].astype(float), len(used)) - counts * shares[0]
+    square_z = more**2 / (shares[0] * (1 - shares[0]) * counts)
+    penalty = np.minimum(least + len(used) / 30 * np.exp(-square_z / 2), most) / len(rows)
     cuts = np.log((1 - shares) / shares)
     theta = np.concatenate([np.zeros(len(used)), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
     mean, square, n = np.zeros_like(theta), np.zeros_like(theta), len(rows)
