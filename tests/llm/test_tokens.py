@@ -59,6 +59,14 @@ def test_encode_and_decode(messy):
     assert len(rows) == len(messy_rows())
 
 
+def test_long_words_stay_out_of_the_lexicon(spark):
+    long = ["a" * 300_000, "é" * 40, "x" * 65, "\u3000" * 30, "." * 5000]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*long, "x" * 64, "é" * 32, "the cat"])], "doc_id long, text string").repartition(3)
+    assert set(bpe.frequent_words(df, BYTES)) == {b"x" * 64, "é".encode() * 32, b"the", b" cat"}
+    rows = bpe.encode(df.filter("length(text) < 10000"), BYTES).collect()
+    assert [np.frombuffer(x.ids, "<u4").tolist() for x in rows] == expected(BYTES, [x.text for x in rows])
+
+
 def test_decode_of_broken_bytes(spark):
     library, ids = Tokenizer.from_file(BYTES), [[163, 99, 50256, 120], [94, 95, 10, 11], list(range(127, 200))]
     rows = spark.createDataFrame([(bytearray(np.array(x, "<u4").tobytes()),) for x in ids], "ids binary")

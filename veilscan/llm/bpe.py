@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from veilscan.llm import kernels as K
 from veilscan.llm.word_ids import LATIN_LETTERS, LATIN_NUMBERS, LATIN_WHITE, WHITE, WordIds, is_latin, ranges
 
-#: Words in the transducer.
+#: Words in the transducer, and bytes of the longest: at most 3.2 million states. Longer words are merged.
 FREQUENT = 50_000
+LONGEST = 64
 
 _PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 _LATIN = re.compile(
@@ -237,7 +238,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all texts."""
+    """The most frequent words of all texts, without those of more than LONGEST bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = vocabulary_of(tokenizer), Counter()
@@ -249,7 +250,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_
 
         for batch in batches:
             for text in batch["text"].to_pylist():
-                counts.update(vocabulary.words(text))
+                counts.update(w for w in vocabulary.words(text) if len(w) <= LONGEST and len(w.encode()) <= LONGEST)
                 if len(counts) > 500_000:
                     yield take()
         yield take()
