@@ -34,10 +34,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near copies (five words, similarity 0.8), by doc_id."""
-    groups = jaccard_join.similar_documents(docs, 5, 80)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return _documents(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"))
+    """Keep one row of each group of near copies (five words, similarity 0.8), the first by doc_id (nulls last), text hash and row number.
+
+    Rows that repeat an id, or have none, are documents of their own; rows without a word are no copies.
+    """
+    rows = write_table(docs.select(COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_join.similar_documents(rows, 5, 80, id_col="row_id").toDF("row_id", "n_shingles", "component")
+    keys = rows.select("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_id").alias("key"))
+    first = groups.join(keys, "row_id").groupBy("component").agg(F.min("key").alias("key"))
+    return _documents(rows.join(first.select("key.row_id"), "row_id", "left_semi"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
