@@ -21,8 +21,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no letter in them); lang becomes the predicted language."""
+    """Drop documents without a letter; lang becomes the predicted language, `und` where no row has one to learn from."""
     model = language.learn(docs)
+    if not model.langs:
+        return _documents(language.with_letters(docs.select(COLUMNS)).withColumn("lang", F.lit(language.UNKNOWN)))
     found = language.predict(docs.select(COLUMNS), model, lang_col="lang_pred", score_col="lang_score")
     return _documents(found.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")))
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.conftest import edited, messy_rows, prose
 from tests.llm.test_jaccard_join import brute_force as near_groups
@@ -50,6 +52,12 @@ def test_copies_do_not_reach_packing(spark):
     assert [x.text for x in docs.collect()] == [text]
 
 
+def test_documents_stay_where_no_language_is_known(spark, messy):
+    got = P.identify_language(spark, messy.withColumn("lang", F.lit(None).cast("string")), SF).collect()
+    assert sorted(x.text for x in got) == sorted(x[1] for x in messy_rows() if any(map(str.isalpha, x[1] or "")))
+    assert {x.lang for x in got} == {"und"} and all(x.n_chars == len(x.text) for x in got)
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:

@@ -129,6 +129,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return fit(sorted(words.items()))
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+    position = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in K.slices(whole, position)):
+            yield batch.filter(pa.array([any(map(str.isalpha, x or "")) for x in batch.column(position).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All rows and columns, and the predicted language and its score."""
     if {lang_col, score_col} & set(docs.columns):
