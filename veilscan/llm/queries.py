@@ -17,6 +17,7 @@ from veilscan.llm import (
     language,
     line_dedup,
     packing,
+    prefix_bpe,
     projected_search,
     secret_scan,
     simhash,
@@ -127,12 +128,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts; also of each with " ok" put in at its middle and "." behind, encoded near these edits only."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    edit = lambda at, text: F.struct(at.alias("start"), at.alias("stop"), F.lit(text).alias("text"))
+    docs = docs.withColumn("edits", F.array(edit(F.expr("coalesce(length(text), 0) div 2"), " ok"), edit(size + 3, ".")))
+    rows = prefix_bpe.encode_edited(docs, path, "edits").drop("text", "edits")
+    digest = lambda ids: F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+    count = lambda ids: F.size(ids).cast("long")
+    rows = rows.select(
+        "doc_id", count("ids").alias("n_tokens"), digest("ids").alias("ids_sha256"), "ids",
+        count("edited_ids").alias("edited_n_tokens"), digest("edited_ids").alias("edited_ids_sha256"), "encoded_bytes",
+    )
+    return prefix_bpe.decode(rows, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("ids", "decoded")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [
         op1_toxicity, op2_chat_format, op3_language, op4_line_dedup, op5_projected_search,
         op6_jaccard_join, op7_secret_scan, op8_simhash, op9_bpe, op10_packing,
+        op13_prefix_bpe,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
