@@ -21,6 +21,7 @@ from veilscan.llm import (
     projected_search,
     secret_scan,
     simhash,
+    structure_repair,
     toxicity,
 )
 
@@ -128,6 +129,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired turns of conversations with damage put in."""
+    return structure_repair.audit_conversations(structure_repair.damaged(_table(spark, sf_dir, "conversations")), "lost")
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all texts; also of each with " ok" put in at its middle and "." behind, encoded near these edits only."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -151,7 +157,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_toxicity, op2_chat_format, op3_language, op4_line_dedup, op5_projected_search,
         op6_jaccard_join, op7_secret_scan, op8_simhash, op9_bpe, op10_packing,
-        op13_prefix_bpe,
+        op11_structure_repair, op13_prefix_bpe,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -176,5 +182,89 @@ FROM turns GROUP BY conv_id
 """
 
 
+#: CRC-32 of strings of ASCII in column k of a table: its table of 256 values, and the fold over the characters.
+_CRC_TABLE = """SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM range(256) AS r(n)"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(state: str, cost: str, letter: str, row: str | None = None) -> str:
+    """The edits of a state with one more."""
+    rows = f"{state}.t || [{row}]" if row else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {rows}}}"
+
+
+def _inserted(table: str) -> str:
+    """States of a table, with rows inserted behind them."""
+    once = lambda state, role: _edit(state, "3", "I", f"'{role}:'")
+    return f"""SELECT * REPLACE ({_least("u", once("a", "user"))} AS u) FROM (
+        SELECT * REPLACE ({_least("a", once("u", "assistant"))} AS a) FROM (
+        SELECT * REPLACE ({_least("u", once("s", "user"), once("y", "user"), once("a", "user"))} AS u) FROM {table}))"""
+
+
+_NEVER = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+_KEPT = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+
+
+def _step(state: str, *froms: tuple[str, str, str]) -> str:
+    """A state after one more row: it is deleted, or it leads there from another state (state, initial, new role)."""
+    options = [_edit(state, "4", "D")]
+    for old, initial, role in froms:
+        keep = f"fault NOT IN (1, 2) AND left(role, 1) = '{initial}'"
+        options.append(f"CASE WHEN {keep} THEN {_edit(old, _KEPT, 'K', 'role || chr(58) || text')} ELSE {_NEVER} END")
+        if role:
+            change = _edit(old, f"3 + {_KEPT}", "R", f"'{role}:' || text")
+            options.append(f"CASE WHEN fault NOT IN (1, 2) THEN {change} ELSE {_NEVER} END")
+    return f"{_least(*options)} AS {state}"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+codes AS (
+    SELECT *, {_CRC} % 20 AS kind FROM (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations), crc
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM codes, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM damaged
+),
+faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM numbered
+),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+steps AS (
+    SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s, {_NEVER} AS y, {_NEVER} AS u, {_NEVER} AS a FROM ids
+    UNION ALL
+    SELECT conv_id, n, {_step("s")}, {_step("y", ("s", "s", ""))},
+        {_step("u", ("s", "u", "user"), ("y", "u", "user"), ("a", "u", "user"))}, {_step("a", ("u", "a", "assistant"))}
+    FROM (SELECT d.conv_id, r.n, r.role, r.text, r.fault, d.s, d.y, d.u, d.a FROM ({_inserted("steps")}) AS d
+        JOIN faulty AS r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.n = d.n + 1)
+),
+counts AS (
+    SELECT i.conv_id, count(f.n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM ids AS i LEFT JOIN faulty AS f ON f.conv_id IS NOT DISTINCT FROM i.conv_id GROUP BY i.conv_id
+),
+ends AS (SELECT conv_id, n, {_least("s", "a")} AS best FROM ({_inserted("steps")}))
+SELECT c.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit,
+    sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM counts AS c JOIN ends AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.n = c.n
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL}
+    return {"op2_chat_format": OP2_SQL, "op11_structure_repair": OP11_SQL}
