@@ -21,6 +21,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -88,17 +89,18 @@ class Splitter:
     def __init__(self, pattern: str, classes: dict[str, list[tuple[int, int]]]) -> None:
         self.patterns = {limit: python_pattern(pattern, classes, limit) for limit in (0x80, 0x100, 0x110000)}
 
-    def of(self, text: str) -> re.Pattern:
+    def limit(self, text: str) -> int:
+        """Of 0x80, 0x100 and 0x110000 the least above all code points."""
         if text.isascii():
-            return self.patterns[0x80]
+            return 0x80
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.patterns[0x110000]
-        return self.patterns[0x100]
+            return 0x110000
+        return 0x100
 
     def __call__(self, text: str) -> list[str]:
-        return self.of(text).findall(text)
+        return self.patterns[self.limit(text)].findall(text)
 
 
 class Ranks:
@@ -111,7 +113,8 @@ class Ranks:
         self.rank = {token: k for k, token in enumerate(tokens) if token}
         if any(bytes([k]) not in self.rank for k in range(256)):
             raise ValueError("a byte has no token")
-        self.longest = max(map(len, tokens))
+        self.lengths = np.array([len(token) for token in tokens], np.int64)
+        self.longest = int(self.lengths.max())
         # when a token comes to be: single bytes are there from the start
         self.made = [k if len(token) > 1 else -1 for k, token in enumerate(tokens)]
         self.left, self.right = [-1] * len(tokens), [-1] * len(tokens)
@@ -209,6 +212,27 @@ class Ranks:
         return done - begin
 
 
+    def word(self, data: bytes) -> list[int]:
+        """Ids of a whole piece."""
+        whole = self.rank.get(data)
+        if whole is not None:  # as the library has it, also for a token that no merges make
+            return [whole]
+        last: list[int] = []
+        done, find, add = 0, self.pairs.get, last.append
+        for at, (size, token) in self.automaton.iter(data.decode("latin-1")):
+            if at < done:
+                continue
+            if size <= at:
+                ok = find(last[at - size] << 16 | token)
+                if ok is None:
+                    ok = self.may_follow(last[at - size], token)
+                if not ok:
+                    continue
+            add(token)
+            done += 1
+        return walk_back(self.tokens, last)
+
+
 class Piece:
     """One piece of text, with the last token of each of its byte prefixes."""
 
@@ -246,47 +270,27 @@ class Encoder:
 
     def __init__(self, ranks: Ranks, splitter: Splitter) -> None:
         self.ranks, self.split = ranks, splitter
-        self.cache = WordIds(self._encode)
+        self.cache = WordIds(self._encode, 600_000)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rank, tokens, extend = self.ranks.rank, self.ranks.tokens, self.ranks.extend
-        lengths, out = np.empty(len(words), np.int64), []
-        for k, word in enumerate(words):
-            data = word.encode()
-            whole = rank.get(data)
-            if whole is not None:  # as the library has it, also for a token that no merges make
-                out.append(whole)
-                lengths[k] = 1
-                continue
-            last: list[int] = []
-            extend(last, data)
-            own = walk_back(tokens, last)
-            out += own
-            lengths[k] = len(own)
-        return lengths, np.array(out, np.int64)
+        own = [self.ranks.word(w.encode()) for w in words]
+        return np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int64)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         return self.cache([self.split(text) for text in texts])
 
     def editable(self, texts: list[str]) -> list[EditableText]:
         pieces = [self.split(text) for text in texts]
-        ids, find = self.cache(pieces), self.cache.codes.__getitem__
-        out = []
-        for text, own, each in zip(texts, pieces, ids, strict=True):
-            counts = self.cache.lengths[np.fromiter(map(find, own), np.int64, len(own))]
-            out.append(EditableText(self, text, np.fromiter(map(len, own), np.int64, len(own)), counts, each))
-        return out
+        ids = self.cache(pieces)
+        return [EditableText(self, t, np.fromiter(map(len, p), np.int64, len(p)), x) for t, p, x in zip(texts, pieces, ids, strict=True)]
 
 
 class EditableText:
-    """A text and its ids, kept up under appends and edits.
-
-    ends and id_ends: where its pieces end, in code points and ids.
-    """
+    """A text and its ids, kept up under appends and edits; ends: where its pieces end, in code points."""
 
-    def __init__(self, encoder: Encoder, text: str, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        self.encoder, self.text, self.ids = encoder, text, ids.astype(np.int32)
-        self.ends, self.id_ends = np.cumsum(sizes), np.cumsum(counts)
+    def __init__(self, encoder: Encoder, text: str, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.encoder, self.text, self.ids, self.ends = encoder, text, ids.astype(np.int32), np.cumsum(sizes)
+        self.limit = encoder.split.limit(text)
         self.kept: dict[int, Piece] = {}  # long pieces by their start, once an edit has met them
         self.encoded = 0
 
@@ -304,7 +308,8 @@ class EditableText:
         begin = int(ends[k - 1]) if k else 0
         fresh: list[tuple[int, int]] = []
         j = len(ends)  # old pieces from j on stay
-        for found in self.encoder.split.of(self.text).finditer(self.text, begin):
+        self.limit = max(self.limit, self.encoder.split.limit(new))
+        for found in self.encoder.split.patterns[self.limit].finditer(self.text, begin):
             fresh.append(found.span())
             at = found.end()
             if at >= start + len(new):
@@ -317,13 +322,11 @@ class EditableText:
         own = [self._encode(a, b, first, old, start, stop) for a, b in fresh]
         kept = {a + (shift if a >= tail else 0): x for a, x in self.kept.items() if a < begin or a >= tail}
         self.kept = kept | {a: x for (a, _), (_, x) in zip(fresh, own, strict=True) if x}
-        head, rest = (int(self.id_ends[x - 1]) if x else 0 for x in (k, j))
-        more = [ids for ids, _ in own]
-        self.ids = np.concatenate([self.ids[:head], *[np.asarray(x, np.int32) for x in more], self.ids[rest:]])
-        counts = head + np.cumsum([len(x) for x in more], dtype=np.int64)
-        change = (int(counts[-1]) if len(counts) else head) - rest
+        id_ends = np.cumsum(self.encoder.ranks.lengths[self.ids])  # in bytes
+        size = len(old[:begin].encode())
+        head, rest = np.searchsorted(id_ends, [size, size + len(old[begin:tail].encode())], "right") if tail > begin else [len(self.ids)] * 2
+        self.ids = np.concatenate([self.ids[:head], *[np.asarray(ids, np.int32) for ids, _ in own], self.ids[rest:]])
         self.ends = np.concatenate([ends[:k], np.array([b for _, b in fresh], np.int64), ends[j:] + shift])
-        self.id_ends = np.concatenate([self.id_ends[:k], counts, self.id_ends[j:] + change])
 
     def _encode(self, a: int, b: int, first: tuple[int, int], old: str, start: int, stop: int) -> tuple[list[int] | np.ndarray, Piece | None]:
         """Ids of the new piece from a to b; a long one that was there before is encoded near the edit only.
@@ -333,7 +336,7 @@ class EditableText:
         word = self.text[a:b]
         if len(word) < KEPT_PIECE:
             self.encoded += len(word.encode())
-            return self.encoder.cache([[word]])[0], None
+            return self.encoder.ranks.word(word.encode()), None
         after = word.encode()
         if first[0] == a and first[1] - a >= KEPT_PIECE:
             piece = self.kept.get(a) or Piece(self.encoder.ranks, old[a : first[1]].encode())
@@ -427,7 +430,7 @@ def decode(rows: DataFrame, ranks: str, ids_col: str = "ids", decoded_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ranks_of(ranks).tokens
-        lengths = np.array([len(x) for x in tokens], np.int64)
+        lengths = ranks_of(ranks).lengths
         data, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
         for batch in batches:
             out = []
