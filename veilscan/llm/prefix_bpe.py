@@ -130,12 +130,7 @@ class Ranks:
 
     @classmethod
     def of_file(cls, path: str) -> Ranks:
-        with open(path, "rb") as file:
-            rows = [line.split() for line in file if line.strip()]
-        tokens = [b""] * (1 + max(int(k) for _, k in rows))
-        for token, k in rows:
-            tokens[int(k)] = base64.b64decode(token)
-        return cls(tokens)
+        return cls(tokens_of(path))
 
     def _halve(self, k: int, token: bytes) -> bool:
         """Find the two tokens that the merges of a token join last; a token that they never make has none."""
@@ -352,6 +347,16 @@ class EditableText:
         return piece.ids(), piece
 
 
+@cache
+def tokens_of(path: str) -> list[bytes]:
+    with open(path, "rb") as file:
+        rows = [line.split() for line in file if line.strip()]
+    tokens = [b""] * (1 + max(int(k) for _, k in rows))
+    for token, k in rows:
+        tokens[int(k)] = base64.b64decode(token)
+    return tokens
+
+
 @cache
 def ranks_of(path: str) -> Ranks:
     """One for each Python worker, which runs many tasks."""
@@ -429,8 +434,8 @@ def decode(rows: DataFrame, ranks: str, ids_col: str = "ids", decoded_col: str =
     schema, position = _added(rows, **{decoded_col: T.BinaryType()}), rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ranks_of(ranks).tokens
-        lengths = ranks_of(ranks).lengths
+        tokens = tokens_of(ranks)
+        lengths = np.array([len(x) for x in tokens], np.int64)
         data, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
         for batch in batches:
             out = []

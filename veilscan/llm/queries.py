@@ -18,12 +18,14 @@ from veilscan.llm import (
     line_dedup,
     packing,
     prefix_bpe,
+    prefix_trie,
     projected_search,
     secret_scan,
     simhash,
     structure_repair,
     toxicity,
 )
+from veilscan.llm.store import write_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +136,14 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.audit_conversations(structure_repair.damaged(_table(spark, sf_dir, "conversations")), "lost")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations."""
+    turns = prefix_trie.numbered_turns(prefix_trie.turn_digests(_table(spark, sf_dir, "conversations")))
+    turns = write_table(turns, "turns")
+    ids = turns.select("conv_id").distinct()
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns, ids), ids)
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all texts; also of each with " ok" put in at its middle and "." behind, encoded near these edits only."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -157,7 +167,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_toxicity, op2_chat_format, op3_language, op4_line_dedup, op5_projected_search,
         op6_jaccard_join, op7_secret_scan, op8_simhash, op9_bpe, op10_packing,
-        op11_structure_repair, op13_prefix_bpe,
+        op11_structure_repair, op12_prefix_trie, op13_prefix_bpe,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -266,5 +276,49 @@ FROM counts AS c JOIN ends AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND
 """
 
 
+OP12_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT k::BIGINT AS conv_id, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id::VARCHAR AS k FROM turns), crc),
+rebuilt AS (
+    SELECT i.conv_id, 0 AS part, t.place, t.role, t.text FROM ids AS i JOIN turns AS t ON t.conv_id = i.conv_id - i.conv_id % 5 AND t.place < i.h
+    UNION ALL
+    SELECT i.conv_id, 1, t.place, t.role, t.text FROM ids AS i JOIN turns AS t ON t.conv_id = i.conv_id AND t.place >= i.h
+),
+chained AS (
+    SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+        sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS node,
+        count(*) OVER (PARTITION BY conv_id) AS n
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+),
+paths AS (
+    SELECT conv_id, depth, bytes, node, n FROM chained UNION ALL
+    SELECT i.conv_id, 0, 0, 'root', coalesce(max(c.n), 0) FROM ids AS i LEFT JOIN chained AS c USING (conv_id) GROUP BY i.conv_id
+),
+nodes AS (
+    SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(CASE WHEN depth = n THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM paths GROUP BY node
+),
+linked AS (
+    SELECT n.*, p.node AS parent FROM nodes AS n LEFT JOIN paths AS p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+),
+counted AS (
+    SELECT n.*, (SELECT count(*) FROM linked AS c WHERE c.parent = n.node) AS n_children FROM linked AS n
+),
+sums AS (
+    SELECT p.node, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.bytes) AS saved
+    FROM counted AS c JOIN paths AS p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.node
+)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+    s.saved::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted AS c JOIN sums AS s ON s.node = c.node LEFT JOIN nodes AS p ON p.node = c.parent
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op11_structure_repair": OP11_SQL}
+    return {"op2_chat_format": OP2_SQL, "op11_structure_repair": OP11_SQL, "op12_prefix_trie": OP12_SQL}
