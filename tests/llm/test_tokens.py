@@ -73,9 +73,22 @@ def test_decode_of_broken_bytes(spark):
     assert [x.decoded for x in bpe.decode(rows, BYTES).collect()] == [library.decode(x, skip_special_tokens=False) for x in ids]
 
 
-def test_word_ids():
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    return packing.WordTokenizer(WORDS, packing.library_characters(WORDS))
+
+
+def test_word_ids_of_every_code_point(word_tokenizer):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    values = ["".join(f"a{x}b {x} {x}1 e{x}\u0301 " for x in points[k : k + 40]) for k in range(0, len(points), 40)]
+    for at in range(0, len(values), 2000):
+        own = values[at : at + 2000]
+        assert [x.tolist() for x in word_tokenizer(own)] == expected(WORDS, own)
+
+
+def test_word_ids(word_tokenizer):
     values = texts()
-    got = [x.tolist() for x in packing.WordTokenizer(WORDS)(values)]
+    got = [x.tolist() for x in word_tokenizer(values)]
     wrong = [(v, g, e) for v, g, e in zip(values, got, expected(WORDS, values), strict=True) if g != e]
     assert not wrong, wrong[:3]
 

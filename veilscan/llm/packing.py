@@ -9,7 +9,8 @@ needs padding.
 
 A place on the curve that many documents share is split over partitions by a hash of the document.
 Ids are those of a tokenizer file in which words are encoded one by one (a normaliser to lower case
-and NFC, a split into words, then BPE with word ends), and end_id at the end.
+and NFC, a split into words, then BPE with word ends), and end_id at the end. Letters, numbers and white
+space are what the file's library takes for them; it normalises texts of newer code points itself.
 
 Inputs: a null or empty text is the end_id alone. Rows that repeat an id are packed as documents of
 their own, and a null id stays null. Other columns are not read. An empty table gives no pieces.
@@ -24,31 +25,67 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import kernels as K
 from veilscan.llm.store import text_or_empty, write_table
-from veilscan.llm.word_ids import LATIN_LETTERS, LATIN_NUMBERS, LATIN_WHITE, WHITE, WordIds, is_latin
+from veilscan.llm.word_ids import WordIds, is_latin
 
 DIMS, BITS = 3, 10
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 _SIGMA = "Σ"
 
 
+def _spans(points: np.ndarray) -> list[tuple[int, int]]:
+    """Sorted code points as (first, last) of runs."""
+    cut = np.flatnonzero(np.diff(points) != 1) + 1
+    return [(int(x[0]), int(x[-1])) for x in np.split(points, cut)] if len(points) else []
+
+
+@cache
+def library_characters(path: str) -> dict[str, list[tuple[int, int]]]:
+    """Code points, asked of the tokenizer file's library: letters, numbers, white space, and odd ones.
+
+    A text without odd ones is normalised here as there: all its code points are old enough that every
+    version of Unicode treats them alike, together too, and each by itself was compared.
+    """
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    text = points.tobytes().decode("utf-32-le")
+    out = {}
+    for name, kind in (("letters", r"\p{L}"), ("numbers", r"\p{N}"), ("white", r"\s")):
+        found = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(text)
+        own = "".join(part for part, _ in found)
+        out[name] = _spans(np.frombuffer(own.encode("utf-32-le"), np.uint32).astype(np.int64))
+    white = {c for a, b in out["white"] for c in range(a, b + 1)}
+    normalize, old = Tokenizer.from_file(path).normalizer.normalize_str, unicodedata.ucd_3_2_0.category
+    odd = [c for c, x in zip(points.tolist(), text, strict=True) if c not in white and (old(x) == "Cn" or normalize(x) != _normalized(x))]
+    out["odd"] = _spans(np.array(odd, np.int64))
+    return out
+
+
+def _normalized(text: str) -> str:
+    text = unicodedata.normalize("NFC", text)
+    if _SIGMA in text:  # str.lower() has a rule for the ends of words
+        text = text.replace(_SIGMA, "σ")
+    return text.lower()
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer file, as its library gives them without special tokens added."""
+    """Ids of texts by a tokenizer file, as its library gives them without special tokens added.
+
+    characters: those of library_characters().
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, characters: dict[str, list[tuple[int, int]]]) -> None:
         from tokenizers import Tokenizer, normalizers
 
         self.bare = Tokenizer.from_file(path)
+        self.normalizer = self.bare.normalizer
         self.special = {t.content: k for k, t in self.bare.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.bare.normalizer = normalizers.Sequence([])
@@ -58,6 +95,12 @@ class WordTokenizer:
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.cache = WordIds(self._encode, 150_000)
+        limits = (0x80, 0x100, 0x110000)
+        sets = [{k: "".join(f"\\U{a:08x}-\\U{min(b, n - 1):08x}" for a, b in v if a < n) for k, v in characters.items()} for n in limits]
+        self.patterns = [
+            re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+".format(**own)) for own in sets
+        ]
+        self.odd = re.compile(f"[{sets[-1]['odd']}]")
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.int64)]
@@ -67,8 +110,12 @@ class WordTokenizer:
         ids = [np.array(e.ids) for e in self.bare.encode_batch(blocks, add_special_tokens=False)]
         ids = np.concatenate(ids) if ids else out[0]
         last = np.flatnonzero(self.ends[ids])
-        assert len(last) == len(plain), "a word doesn't end in one token"
-        lengths[plain] = np.diff(last, prepend=-1)
+        if len(last) == len(plain):
+            lengths[plain] = np.diff(last, prepend=-1)
+        else:  # words that the library parts otherwise, one by one
+            each = [e.ids for e in self.bare.encode_batch([words[k] for k in plain], add_special_tokens=False)]
+            lengths[plain] = [len(x) for x in each]
+            ids = np.array([x for own in each for x in own], np.int64)
         flat = np.empty(lengths.sum(), np.int64)
         own = np.repeat(np.array([w in self.special for w in words], bool), lengths)
         flat[~own], flat[own] = ids, [self.special[w] for w in words if w in self.special]
@@ -76,12 +123,9 @@ class WordTokenizer:
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
-            return _PLAIN.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        if _SIGMA in text:  # str.lower() has a rule for the ends of words
-            text = text.replace(_SIGMA, "σ")
-        text = text.lower()
-        return (_LATIN if is_latin(text) else _WORDS).findall(text)
+            return self.patterns[0].findall(text.lower())
+        text = self.normalizer.normalize_str(text) if self.odd.search(text) else _normalized(text)
+        return self.patterns[1 if is_latin(text) else 2].findall(text)
 
     def words(self, text: str) -> list[str]:
         if "<|" not in text:
@@ -92,10 +136,14 @@ class WordTokenizer:
         return self.cache([self.words(text) for text in texts])
 
 
-@cache
-def tokenizer_of(path: str) -> WordTokenizer:
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str, characters: dict[str, list[tuple[int, int]]]) -> WordTokenizer:
     """One for each Python worker, which runs many tasks."""
-    return WordTokenizer(path)
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path, characters)
+    return _tokenizers[path]
 
 
 def projection(size: int) -> np.ndarray:
@@ -180,9 +228,10 @@ class _Packer:
 
 def placed_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place, ids) of every document; ids: little-endian unsigned 16-bit numbers."""
+    characters = library_characters(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = tokenizer_of(tokenizer), projection(1 << 16)
+        encode, table = tokenizer_of(tokenizer, characters), projection(1 << 16)
         for batch in (part for whole in batches for part in K.slices(whole, "text", 2 * K.BLOCK)):
             ids = [np.append(x, np.uint16(end_id)) for x in encode(batch["text"].to_pylist())]
             yield pa.record_batch(
