@@ -32,7 +32,8 @@ def test_random_texts():
         assert base(text) == brute_force(text), text
 
 
-def test_documents(documents):
+def test_documents(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [x.text for x in documents.select("text").collect()]
     assert [base(x) for x in texts] == [brute_force(x) for x in texts]
     assert any(base(x) for x in texts)
