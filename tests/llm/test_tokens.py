@@ -63,10 +63,26 @@ def test_long_words_stay_out_of_the_lexicon(spark):
     long = ["a" * 300_000, "é" * 40, "x" * 65, "\u3000" * 30, "." * 5000]
     df = spark.createDataFrame([(k, x) for k, x in enumerate([*long, "x" * 64, "é" * 32, "the cat"])], "doc_id long, text string").repartition(3)
     assert set(bpe.frequent_words(df, BYTES)) == {b"x" * 64, "é".encode() * 32, b"the", b" cat"}
-    rows = bpe.encode(df.filter("length(text) < 10000"), BYTES).collect()
+    rows = bpe.encode(df, BYTES).collect()
     assert [np.frombuffer(x.ids, "<u4").tolist() for x in rows] == expected(BYTES, [x.text for x in rows])
 
 
+def test_long_words_are_merged_exactly():
+    vocabulary, r = bpe.Vocabulary(BYTES), random.Random(2)
+    words = ["".join(r.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "éüx中", "a") for n in (1001, 1500, 30_000)]
+    lengths, ids = vocabulary.merge(["the".encode(), *[w.encode() for w in words], b"", b"ing"])
+    parts = np.split(ids, np.cumsum(lengths)[:-1])
+    assert [x.tolist() for x in parts] == expected(BYTES, ["the", *words, "", "ing"])
+
+
+def test_frequent_words_are_about_as_many_as_asked_for(spark):
+    texts = [" ".join(f"w{'abcdefgh'[k // 8 % 8]}{'ijklmnop'[k % 8]}" for k in range(64) for _ in range(1 + k // 16)) for _ in range(3)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert len(bpe.frequent_words(df, BYTES, 1000)) == 64
+    few = bpe.frequent_words(df, BYTES, 40)
+    assert 30 <= len(few) <= 50 and {f" wh{x}".encode() for x in "ijklmnop"} <= set(few)
+
+
 def test_decode_of_broken_bytes(spark):
     library, ids = Tokenizer.from_file(BYTES), [[163, 99, 50256, 120], [94, 95, 10, 11], list(range(127, 200))]
     rows = spark.createDataFrame([(bytearray(np.array(x, "<u4").tobytes()),) for x in ids], "ids binary")

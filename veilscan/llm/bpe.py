@@ -13,6 +13,7 @@ their own, as the library has it. Rows are encoded one by one; other columns pas
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm import kernels as K
+from veilscan.llm.store import write_table
 from veilscan.llm.word_ids import LATIN_LETTERS, LATIN_NUMBERS, LATIN_WHITE, WHITE, WordIds, is_latin, ranges
 
 #: Words in the transducer, and bytes of the longest: at most 3.2 million states. Longer words are merged.
 FREQUENT = 50_000
 LONGEST = 64
+#: Words of more bytes are merged one at a time.
+LONG_WORD = 1000
 
 _PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 _LATIN = re.compile(
@@ -86,6 +90,70 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of words, by merging the pair of least rank until none is left."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._merge_short(words)
+        lengths, ids = self._merge_short([b"" if len(w) > LONG_WORD else w for w in words])
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        for k in long:
+            parts[k] = self.merge_long(words[k])
+            lengths[k] = len(parts[k])
+        return lengths, np.concatenate(parts)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: a heap of ranks, each with the places of its pairs, over a linked list.
+
+        What a merge makes has a higher rank than the merge, so all places of a rank are merged at once.
+        """
+        ids = self.single[np.frombuffer(word, np.uint8)]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def offer(left: np.ndarray) -> None:
+            left = left[after[left] < n]
+            key = ids[left] << 32 | ids[after[left]]
+            at = np.searchsorted(self.pairs, key)
+            at[at == len(self.pairs)] = 0
+            known = self.pairs[at] == key
+            at, left = at[known], left[known]
+            order = np.argsort(at, kind="stable")
+            at, left = at[order], left[order]
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            starts = [0, *cuts.tolist(), len(at)] if len(at) else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                rank = int(self.ranks[at[a]])
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank].append(left[a:b])
+
+        by_rank = np.empty(len(self.ranks), np.int64)
+        by_rank[self.ranks] = np.arange(len(self.ranks))
+        offer(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            spot = by_rank[rank]
+            first, second = self.pairs[spot] >> 32, self.pairs[spot] & 0xFFFFFFFF
+            left = np.unique(np.concatenate(places.pop(rank)))
+            left = left[(ids[left] == first) & (after[left] < n)]
+            left = left[ids[after[left]] == second]
+            if first == second and len(left) > 1:  # of pairs in a row, which overlap, every other one counts
+                begins = np.flatnonzero(np.append(True, after[left[:-1]] != left[1:]))
+                turn = np.arange(len(left)) - np.repeat(begins, np.diff(np.append(begins, len(left))))
+                left = left[turn % 2 == 0]
+            if not len(left):
+                continue
+            right = after[left]
+            ids[left], ids[right] = self.made[spot], -1
+            after[left] = after[right]
+            inner = left[after[left] < n]
+            before[after[inner]] = inner
+            offer(np.unique(np.concatenate([left, before[left][before[left] >= 0]])))
+        return ids[ids >= 0]
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -238,7 +306,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all texts, without those of more than LONGEST bytes."""
+    """About count of the most frequent words of all texts, without those of more than LONGEST bytes.
+
+    No more than these reach the driver: the least size that leaves so many is found first, and of words of that size a share by hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = vocabulary_of(tokenizer), Counter()
@@ -256,8 +327,22 @@ def frequent_words(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_
         yield take()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    counts = rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [row.word.encode() for row in counts.orderBy(F.desc("n"), "word").limit(count).collect()]
+    counts = write_table(rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # words by size class, about 16 classes for each doubling; as many classes as fit, and of the next one a share
+    size = F.floor(F.log2("n") * 16)
+    classes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, left = 0, count
+    for own in sorted(classes, key=lambda x: -x.size):
+        least = own.size
+        if own.words > left:
+            break
+        left -= own.words
+    else:
+        own = None
+    kept = size > least if own else F.lit(True)
+    if own and left:
+        kept |= (size == least) & (F.pmod(F.xxhash64("word"), F.lit(own.words)) < left)
+    return [row.word.encode() for row in counts.filter(kept).select("word").collect()]
 
 
 def encode(docs: DataFrame, tokenizer: str, count: int = FREQUENT, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
