@@ -65,6 +65,7 @@ def library_characters(path: str) -> dict[str, list[tuple[int, int]]]:
     normalize, old = Tokenizer.from_file(path).normalizer.normalize_str, unicodedata.ucd_3_2_0.category
     odd = [c for c, x in zip(points.tolist(), text, strict=True) if c not in white and (old(x) == "Cn" or normalize(x) != _normalized(x))]
     out["odd"] = _spans(np.array(odd, np.int64))
+    assert not odd or odd[0] > 0xFF
     return out
 
 
@@ -124,7 +125,8 @@ class WordTokenizer:
     def _words(self, text: str) -> list[str]:
         if text.isascii():
             return self.patterns[0].findall(text.lower())
-        text = self.normalizer.normalize_str(text) if self.odd.search(text) else _normalized(text)
+        odd = not is_latin(text) and self.odd.search(text)  # no code point of Latin-1 is odd
+        text = self.normalizer.normalize_str(text) if odd else _normalized(text)
         return self.patterns[1 if is_latin(text) else 2].findall(text)
 
     def words(self, text: str) -> list[str]:
