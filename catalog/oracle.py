@@ -519,7 +519,6 @@ FROM entities GROUP BY id, label"""
     out["scan_conversations"] = scan_query(
         "conversations", "conv_id || '/' || turn", "text", "message"
     )
-    out["scan_stream"] = out["scan_documents"]
     out["scan_results"] = f"""{scan_ctes("pages", "page_id", "html")}
 SELECT s.id AS page_id, 'success' AS status, coalesce(n, 0) AS pii_count,
        CAST(strlen(s.text) AS BIGINT) AS file_size_bytes,
@@ -590,6 +589,7 @@ SELECT name, CASE kind WHEN 5 THEN 'error' WHEN 6 THEN 'skipped' ELSE 'success'
   CASE kind WHEN 5 THEN 'Unable to decode file' WHEN 6 THEN 'Empty file' END AS why
 FROM files WHERE kind <> 7"""
     out["scan_files"] = files
+    out["scan_stream"] = files
     out["scan_flat"] = f"{files} AND kind <> 3"
     out["scan_path"] = f"""{scan_ctes("documents", "doc_id", "text", size=2_000_000_000)}
 SELECT label, count(*) AS entities FROM entities GROUP BY label"""

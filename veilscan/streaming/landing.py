@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from veilscan import schemas
 from veilscan.operators.gates import text_glob
 from veilscan.operators.model_scorer import ModelScorer
 from veilscan.plans.scan import Scanner
-from veilscan.sources.files import gate_files, scan_files
+from veilscan.sources.files import gate_arrived
+from veilscan.streaming.arrivals import arriving_files, keep_listing, run_available
 
 
 def landing_files(
     spark: SparkSession, directory: str, recursive: bool = True, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A stream of the text files that arrive in a directory; a rate of None takes all that there are."""
+    """A stream of the text files that arrive in a directory as Spark's own source sees them; a rate of None takes all that there are.
+
+    Names with ``.`` or ``_`` in front and files without a byte don't arrive.
+    """
     stream = (
         spark.readStream.format("binaryFile")
         .schema(schemas.FILES)
@@ -27,6 +31,14 @@ def landing_files(
     return stream.load(directory)
 
 
+def _file_writer(results: DataFrame, directory: str, checkpoint: str) -> DataStreamWriter:
+    return (
+        results.writeStream.format("parquet")
+        .option("path", directory)
+        .option("checkpointLocation", checkpoint)
+    )
+
+
 def write_stream(
     results: DataFrame, directory: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -34,13 +46,7 @@ def write_stream(
 
     ``checkpoint`` has to be on storage that all executors share and that outlives the query.
     """
-    return (
-        results.writeStream.format("parquet")
-        .option("path", directory)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _file_writer(results, directory, checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def scan_stream(
@@ -51,26 +57,28 @@ def scan_stream(
     scanner: Scanner = Scanner(),
     recursive: bool = True,
     trigger: dict | None = None,
-    max_files_per_trigger: int | None = None,
+    list_seconds: float = 60.0,
 ) -> StreamingQuery:
-    """Scan every file that lands in a directory by itself and append its result.
+    """Scan every file that lands in a directory by itself and append its result, as a scan of the directory gives it.
 
-    Files without a byte are not seen by a stream. With a model scorer each micro-batch is scanned
-    as a table and replaces its own ``batch_id`` directory, so a repeated batch writes nothing twice.
-    Files are gated on the stream, so that those over the limit are not read.
+    The directory is listed at the start; a trigger that doesn't end lists it again every so many seconds.
+    With a model scorer each micro-batch is scanned as a table and replaces its own ``batch_id``
+    directory, so a repeated batch writes nothing twice. Files over the limit are not read. Stores that
+    only Spark's readers can open are served by ``write_stream(scan_files(landing_files(...)))``.
     """
-    files = landing_files(spark, landing, recursive, max_files_per_trigger)
-    if not isinstance(scanner.scorer, ModelScorer):
-        return write_stream(scan_files(files, scanner), directory, checkpoint, trigger)
+    arrived = arriving_files(spark, landing, checkpoint, scanner.settings.max_file_bytes, recursive)
+    documents = gate_arrived(arrived, scanner.settings)
+    if isinstance(scanner.scorer, ModelScorer):
 
-    def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        results = scanner.scan_documents(batch, ["file"])
-        results.write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
+        def scan_batch(batch: DataFrame, batch_id: int) -> None:
+            results = scanner.scan_documents(batch, ["file"])
+            results.write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
 
-    return (
-        gate_files(files, scanner.settings)
-        .writeStream.foreachBatch(scan_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+        writer = documents.writeStream.foreachBatch(scan_batch).option("checkpointLocation", checkpoint)
+    else:
+        writer = _file_writer(scanner.scan_documents(documents, ["file"]), directory, checkpoint)
+    if trigger is None or {"availableNow", "once"} & set(trigger):
+        return run_available(writer)
+    query = writer.trigger(**trigger).start()
+    keep_listing(query, spark, landing, checkpoint, list_seconds, recursive)
+    return query
