@@ -586,7 +586,6 @@ def q_model_scan(spark, sf_dir):
         settings=Settings(max_chunk_size=1000),
         scorer=toy_model(),
         filters=False,
-        spread_chunks=spark.sparkContext.defaultParallelism,
     )
     rows = entity_rows(_scan_documents(spark, sf_dir, scanner), ["doc_id"])
     return rows.select(

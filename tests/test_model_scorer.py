@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilscan import ModelScorer, Scanner, Settings, file_tokenizer, onnx_model, scan_table
+from veilscan.operators.model_scorer import batches_by_length
 
 
 def field(number, payload):
@@ -123,3 +124,44 @@ def test_arguments(artifacts):
         ModelScorer(lambda: None, lambda: None, [])
     with pytest.raises(ValueError, match="activation"):
         scorer(artifacts, activation="tanh")
+
+
+def test_spans_in_the_row_are_those_of_chunk_rows(spark):
+    """Also of models whose indices, scores and label names are odd."""
+    from catalog.queries import toy_model
+
+    texts = ["some words here, and more of them\n" * 40, "", " ", "x", None, "é中 ab" * 30, "abc" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    for names, labels, threshold in (
+        (["O", "person", "email", "date"], (), 0.5),
+        (["O", "Person", "email", "Person"], ("PERSON",), 0.9),
+        (["person", "O"], ("email", "person"), 0.0),
+        (["o", "a", "b", "O"], ("A", "o"), 0.3),
+    ):
+        toy = toy_model()
+        model = ModelScorer(toy.make_tokenizer, toy.make_model, names)
+        settings = Settings(max_chunk_size=50, threshold=threshold, batch_size=5)
+        both = [
+            scan_table(df, "t", "id", Scanner(labels=labels, settings=settings, scorer=model, filters=False, spread_chunks=n))
+            for n in (None, 4)
+        ]
+        found = [sorted(map(tuple, x.collect())) for x in both]
+        assert found[0] == found[1] and sum(x[3] for x in found[0]) > 0
+
+
+def test_a_model_scan_does_not_shuffle(spark, artifacts):
+    df = spark.createDataFrame([(1, "alice")], "id int, t string")
+    plan = scan_table(df, "t", "id", Scanner(labels=(), scorer=scorer(artifacts)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_windows_of_like_length_share_runs():
+    lengths = np.random.default_rng(1).integers(1, 129, 5000)
+
+    def padding(batches):
+        cells = sum(len(own) * max(lengths[own]) for own in batches)
+        return 1 - lengths.sum() / cells
+
+    sorted_runs = list(batches_by_length(lengths, 32))
+    assert sorted(np.concatenate(sorted_runs)) == list(range(5000))
+    assert padding(sorted_runs) < 0.02 < 0.4 < padding([np.arange(k, min(k + 32, 5000)) for k in range(0, 5000, 32)])

@@ -105,10 +105,11 @@ def test_table_stream_is_lazy(spark, tmp_path):
     assert scan_table(stream, "t", "id").isStreaming
 
 
-def test_model_stream(spark, tmp_path):
+@pytest.mark.parametrize("spread", [None, 3])
+def test_model_stream(spark, tmp_path, spread):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("some words")
-    scanner = Scanner(labels=(), scorer=toy_model(), filters=False)
+    scanner = Scanner(labels=(), scorer=toy_model(), filters=False, spread_chunks=spread)
     landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     scan_stream(spark, landing, out, checkpoint, scanner).awaitTermination()
     (tmp_path / "in" / "b.txt").write_text("more words")
@@ -117,5 +118,8 @@ def test_model_stream(spark, tmp_path):
     found = spark.read.parquet(out).select(expected.columns)
     assert sorted(found.collect(), key=repr) == sorted(expected.collect(), key=repr)
     stream = spark.readStream.schema("id int, t string").parquet(landing)
-    with pytest.raises(ValueError, match="scan_stream"):
-        scan_table(stream, "t", "id", scanner)
+    if spread is None:
+        assert scan_table(stream, "t", "id", scanner).isStreaming
+    else:
+        with pytest.raises(ValueError, match="scan_stream"):
+            scan_table(stream, "t", "id", scanner)

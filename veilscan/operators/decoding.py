@@ -165,7 +165,20 @@ def chunk_entities(
     filters: bool = True,
     rules: Sequence[FalsePositiveRule] = DEFAULT_RULES,
 ) -> Column:
-    """Entities of one chunk with offsets in the document.
+    """Entities of one chunk with offsets in the document."""
+    spans = merge_tokens(tokens, labels, settings.threshold)
+    return span_entities(spans, text, offset, settings, filters, rules)
+
+
+def span_entities(
+    spans: Column,
+    text: Column,
+    offset: Column,
+    settings: Settings,
+    filters: bool = True,
+    rules: Sequence[FalsePositiveRule] = DEFAULT_RULES,
+) -> Column:
+    """Entities of one chunk's spans.
 
     ``filters`` is the policy of the scanner: switched off, no setting of a request turns the
     false-positive filters on.
@@ -193,5 +206,4 @@ def chunk_entities(
             entities, lambda e: ~is_false_positive(e.label, e.text, e.score, rules)
         )
 
-    spans = merge_tokens(tokens, labels, settings.threshold)
     return let(spans, lambda s: let(kept(sliced(s)), distinct_entities))

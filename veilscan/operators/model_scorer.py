@@ -16,13 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.columns import let
+from veilscan.operators.pattern_scorer import OUTSIDE
 
 Window = tuple[Sequence[int], Sequence[int], Sequence[int], Sequence[tuple[int, int]]]
 
+_SPANS = "array<array<struct<label:int,start:int,end:int,score:float>>>"
+#: Tokens of chunks that are held for common model runs, beside those of one chunk.
+POOL_TOKENS = 1 << 18
 _SCORED = "start array<int>, end array<int>, idx array<int>, score array<float>"
 _ACTIVATIONS = ("none", "sigmoid", "softmax")
 
@@ -35,11 +41,30 @@ class ModelScorer:
     activation: str = "none"
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "vocabulary", tuple(self.vocabulary))
         if not self.vocabulary:
             raise ValueError("A model scorer needs the label vocabulary of its model")
         if self.activation not in _ACTIVATIONS:
             raise ValueError(f"activation must be one of {_ACTIVATIONS}")
 
+    def spans(self, texts: Column, labels: Sequence[str], threshold: float, batch_size: int) -> Column:
+        """``array<array<struct<label, start, end, score>>>``: the merged spans of each of a row's chunks.
+
+        Tokens stay in the Python worker, and only spans come back. Rules are those of ``merge_tokens``.
+        """
+        find = _spans_udf(self, tuple(labels), threshold, batch_size)
+        names = F.lit(list(self.vocabulary))
+
+        def named(span: Column) -> Column:
+            return F.struct(
+                F.get(names, span.label).alias("label"),
+                span.start.alias("start"),
+                span.end.alias("end"),
+                span.score.alias("score"),
+            )
+
+        return F.transform(find(texts), lambda spans: F.transform(spans, named))
+
     def tokens(self, text: Column, batch_size: int) -> Column:
         """``array<struct<start, end, label, score>>`` of each chunk; NULL text gives no tokens."""
         score = _scoring_udf(self.make_tokenizer, self.make_model, self.activation, batch_size)
@@ -58,39 +83,134 @@ class ModelScorer:
         )
 
 
-def _scoring_udf(make_tokenizer, make_model, activation: str, batch_size: int):
-    def padded(rows: list[Sequence[int]]) -> np.ndarray:
-        out = np.zeros((len(rows), max(map(len, rows))), dtype=np.int64)
-        for i, row in enumerate(rows):
-            out[i, : len(row)] = row
-        return out
-
-    def activate(logits: np.ndarray) -> np.ndarray:
-        if activation == "sigmoid":
-            return 1.0 / (1.0 + np.exp(-logits))
-        if activation == "softmax":
-            powers = np.exp(logits - logits.max(axis=-1, keepdims=True))
-            return powers / powers.sum(axis=-1, keepdims=True)
-        return logits
-
-    def best(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First maximum along the labels; NaN never wins."""
-        scores = np.where(np.isnan(logits), np.finfo(np.float32).min, logits).astype(np.float32)
-        idx = scores.argmax(axis=-1)
-        return idx, np.take_along_axis(scores, idx[..., None], axis=-1)[..., 0]
-
-    def score_windows(model, windows: list[Window]) -> Iterator[list[np.ndarray]]:
-        """The columns of the result for each window of one model run, without padding."""
-        ids, masks, types, offsets = zip(*windows)
-        type_ids = padded(types)
-        logits = model(padded(ids), padded(masks), type_ids if type_ids.any() else None)
-        idx, score = best(activate(np.asarray(logits, dtype=np.float32)))
-        for row, (mask, spans) in enumerate(zip(masks, offsets)):
-            used = np.asarray(mask, dtype=bool)
-            at = np.asarray(spans, dtype=np.int32).reshape(-1, 2)[used]
-            here = slice(len(used))
-            yield [at[:, 0], at[:, 1], idx[row, here][used], score[row, here][used]]
+def _padded(rows: Sequence[Sequence[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows))), dtype=np.int64)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
+
+
+def _activated(logits: np.ndarray, activation: str) -> np.ndarray:
+    if activation == "sigmoid":
+        return 1.0 / (1.0 + np.exp(-logits))
+    if activation == "softmax":
+        powers = np.exp(logits - logits.max(axis=-1, keepdims=True))
+        return powers / powers.sum(axis=-1, keepdims=True)
+    return logits
+
+
+def _best(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First maximum along the labels; NaN never wins."""
+    scores = np.where(np.isnan(logits), np.finfo(np.float32).min, logits).astype(np.float32)
+    idx = scores.argmax(axis=-1)
+    return idx, np.take_along_axis(scores, idx[..., None], axis=-1)[..., 0]
+
+
+def _score_windows(model, windows: Sequence[Window], activation: str) -> Iterator[list[np.ndarray]]:
+    """Start, end, index and score of the tokens of each window of one model run, without padding."""
+    ids, masks, types, offsets = zip(*windows)
+    type_ids = _padded(types)
+    logits = model(_padded(ids), _padded(masks), type_ids if type_ids.any() else None)
+    idx, score = _best(_activated(np.asarray(logits, dtype=np.float32), activation))
+    for row, (mask, spans) in enumerate(zip(masks, offsets)):
+        used = np.asarray(mask, dtype=bool)
+        at = np.asarray(spans, dtype=np.int32).reshape(-1, 2)[used]
+        here = slice(len(used))
+        yield [at[:, 0], at[:, 1], idx[row, here][used], score[row, here][used]]
+
+
+def batches_by_length(lengths: Sequence[int], batch_size: int) -> Iterator[np.ndarray]:
+    """Positions of windows in model runs: windows of like length together, so that little is padded."""
+    order = np.argsort(np.asarray(lengths), kind="stable")
+    for at in range(0, len(order), batch_size):
+        yield order[at : at + batch_size]
+
+
+class _Merger:
+    """Spans of scored tokens, by the rules of ``merge_tokens``."""
+
+    def __init__(self, vocabulary: Sequence[str], labels: Sequence[str], threshold: float) -> None:
+        lower = lambda name: "".join(c.lower() if c.isascii() else c for c in name)
+        wanted = {lower(name) for name in labels}
+        # Equal names are one label. The last place is that of an index outside the vocabulary.
+        self.same = np.array([vocabulary.index(name) for name in vocabulary] + [-1])
+        self.outside = np.array([name == OUTSIDE for name in vocabulary] + [False])
+        asked = [name == OUTSIDE or not wanted or lower(name) in wanted for name in vocabulary]
+        self.seen = np.array([*asked, False])
+        self.threshold = np.float32(threshold)
+
+    def __call__(self, tokens: list[np.ndarray], chunk: np.ndarray) -> list[np.ndarray]:
+        """Chunk, label, start, end and score of spans; tokens of a chunk stand together and in order."""
+        start, end, idx, score = tokens
+        idx = np.where((idx >= 0) & (idx < len(self.same) - 1), idx, len(self.same) - 1)
+        seen = (end > start) & self.seen[idx]
+        start, end, idx, score, chunk = (x[seen] for x in (start, end, idx, score, chunk))
+        if not len(start):
+            return [x[:0] for x in (chunk, idx, start, end, score)]
+        hit = ~self.outside[idx] & ~(score < self.threshold)
+        label = self.same[idx]
+        extends = np.zeros(len(start), bool)
+        extends[1:] = (
+            hit[1:] & hit[:-1] & (label[1:] == label[:-1]) & (end[:-1] == start[1:]) & (chunk[1:] == chunk[:-1])
+        )
+        first = np.flatnonzero(~extends)
+        last = np.append(first[1:], len(start)) - 1
+        most = np.maximum.reduceat(score, first)
+        kept = hit[first]
+        first, last = first[kept], last[kept]
+        return [chunk[first], label[first], start[first], end[last], most[kept]]
+
+
+def _spans_udf(scorer: ModelScorer, labels: tuple[str, ...], threshold: float, batch_size: int):
+    make_tokenizer, make_model, activation = scorer.make_tokenizer, scorer.make_model, scorer.activation
+    vocabulary = list(scorer.vocabulary)
+    fields = [("label", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float32())]
+
+    def score_chunks(tokenize, model, merge, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+        """Spans of chunks; windows of many chunks share model runs, as far as POOL_TOKENS."""
+        windows: list[Window] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> list[np.ndarray]:
+            found: list = [None] * len(windows)
+            for own in batches_by_length([len(w[0]) for w in windows], batch_size):
+                for k, columns in zip(own, _score_windows(model, [windows[k] for k in own], activation)):
+                    found[k] = columns
+            tokens = [np.concatenate(x) for x in zip(*found)]
+            return merge(tokens, np.repeat(owner, [len(x[0]) for x in found]))
+
+        for k, text in enumerate(texts):
+            for window in () if text is None else tokenize(text):
+                windows.append(window)
+                owner.append(k)
+                size += len(window[0])
+            if size >= POOL_TOKENS:
+                yield flush()
+                windows, owner, size = [], [], 0
+        if windows:
+            yield flush()
+
+    @F.arrow_udf(_SPANS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenize, model = make_tokenizer(), make_model()
+        merge = _Merger(vocabulary, labels, threshold)
+        for rows in batches:
+            texts = rows.flatten()  # the chunks of all rows; a null row has none
+            parts = list(score_chunks(tokenize, model, merge, texts.to_pylist()))
+            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, int)] * 5
+            spans = pa.StructArray.from_arrays(
+                [pa.array(c, kind) for c, (_, kind) in zip(columns[1:], fields)], names=[name for name, _ in fields]
+            )
+            counts = np.bincount(columns[0], minlength=len(texts)) if len(texts) else np.empty(0, int)
+            of_chunks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans)
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), of_chunks)
 
+    return find
+
+
+def _scoring_udf(make_tokenizer, make_model, activation: str, batch_size: int):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenize, model = make_tokenizer(), make_model()
         for texts in batches:
@@ -101,7 +221,7 @@ def _scoring_udf(make_tokenizer, make_model, activation: str, batch_size: int):
             def run():
                 if waiting:
                     rows, windows = zip(*waiting)
-                    for row, columns in zip(rows, score_windows(model, windows)):
+                    for row, columns in zip(rows, _score_windows(model, windows, activation)):
                         found[row].append(columns)
                     waiting.clear()
 

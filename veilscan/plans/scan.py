@@ -1,8 +1,9 @@
 """Scanning tables: documents in, one result row per document out.
 
-With a column scorer the whole scan is a projection. Each document is gated, cut, scored and decoded
-inside its row, so no stage shuffles and no key can be hot. A model scorer works on chunk rows,
-which can be dealt out evenly, and brings the entities of a document back together by its id.
+The whole scan is a projection. Each document is gated, cut, scored and decoded inside its row, so no
+stage shuffles and no key can be hot. A model takes the chunks of a row as an array and gives its spans back.
+Where single documents are too large for a task, ``spread_chunks`` makes a model work on chunk rows,
+which are dealt out evenly, and brings the entities of a document back together by its id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from veilscan import schemas
 from veilscan.functions.columns import compute_once
 from veilscan.functions.labels import resolve_labels, unsupported_labels
 from veilscan.operators.chunking import chunk_text
-from veilscan.operators.decoding import chunk_entities
+from veilscan.operators.decoding import chunk_entities, span_entities
 from veilscan.operators.false_positives import DEFAULT_RULES, FalsePositiveRule
 from veilscan.operators.gates import empty_message, gate_message
 from veilscan.operators.model_scorer import ModelScorer
@@ -39,7 +40,7 @@ class Scanner:
     partitions: int | None = None
     # Skip texts of a table that are over the settings' file size, as files are; else only files have a limit.
     limit_texts: bool = False
-    # Deal chunk rows out over this many tasks before a model sees them; None leaves them in place.
+    # Deal chunk rows out over this many tasks before a model sees them; None leaves chunks in their document's row.
     spread_chunks: int | None = None
 
     def __post_init__(self) -> None:
@@ -84,16 +85,18 @@ class Scanner:
 
         A row whose ``error`` is set is not scanned; its status is taken from the row.
         """
-        if isinstance(self.scorer, ModelScorer):
+        if isinstance(self.scorer, ModelScorer) and self.spread_chunks is not None:
             return self._scan_chunk_rows(documents, ids)
         return self._scan_in_row(documents, ids)
 
     def _scan_in_row(self, documents: DataFrame, ids: Sequence[str]) -> DataFrame:
-        chunks, entities = _in_row_columns(self, documents.sparkSession._jvm)
-        chunked = compute_once(documents, chunks=chunks)
-        scanned = compute_once(
-            chunked.select(*ids, "status", "chunks", "file_size_bytes", "error"), entities=entities
-        )
+        chunks, entities = _in_row_columns(self, documents.sparkSession)
+        chunked = compute_once(documents, chunks=chunks).select(*ids, "status", "chunks", "file_size_bytes", "error")
+        if isinstance(self.scorer, ModelScorer):
+            texts = F.transform("chunks", lambda c: c.text)
+            spans = self.scorer.spans(texts, self.labels, self.settings.threshold, self.settings.batch_size)
+            chunked = compute_once(chunked, spans=spans)
+        scanned = compute_once(chunked, entities=entities)
         return scanned.select(
             *ids,
             "status",
@@ -164,23 +167,24 @@ class Scanner:
 
 
 @lru_cache(maxsize=64)
-def _in_row_columns(scanner: Scanner, jvm) -> tuple[Column, Column]:
+def _in_row_columns(scanner: Scanner, session) -> tuple[Column, Column]:
     """Chunks of ``text`` and entities of ``chunks``.
 
     They depend on the scanner alone, and are large enough that it pays to build them only once for
-    all scans of a session's JVM.
+    all scans of a session.
     """
     none = F.array().cast(f"array<{schemas.CHUNK}>")
     chunks = F.when(
         F.col("status") == "success", chunk_text(F.col("text"), scanner.settings.max_chunk_size)
     ).otherwise(none)
-    entities = F.flatten(
-        F.transform(
-            "chunks",
-            lambda c: scanner._decode(scanner.scorer.tokens(c.text), c.text, c.offset),
-        )
-    )
-    return chunks, entities
+
+    def entities_of(c: Column, k: Column) -> Column:
+        if isinstance(scanner.scorer, ModelScorer):
+            spans = F.get("spans", k)
+            return span_entities(spans, c.text, c.offset, scanner.settings, scanner.filters, scanner.rules)
+        return scanner._decode(scanner.scorer.tokens(c.text), c.text, c.offset)
+
+    return chunks, F.flatten(F.transform("chunks", entities_of))
 
 
 def gate_table(

@@ -62,13 +62,13 @@ def scan_stream(
     """Scan every file that lands in a directory by itself and append its result, as a scan of the directory gives it.
 
     The directory is listed at the start; a trigger that doesn't end lists it again every so many seconds.
-    With a model scorer each micro-batch is scanned as a table and replaces its own ``batch_id``
-    directory, so a repeated batch writes nothing twice. Files over the limit are not read. Stores that
+    Where a model's chunks are spread, each micro-batch is scanned as a table and replaces its own
+    ``batch_id`` directory, so a repeated batch writes nothing twice. Files over the limit are not read. Stores that
     only Spark's readers can open are served by ``write_stream(scan_files(landing_files(...)))``.
     """
     arrived = arriving_files(spark, landing, checkpoint, scanner.settings.max_file_bytes, recursive)
     documents = gate_arrived(arrived, scanner.settings)
-    if isinstance(scanner.scorer, ModelScorer):
+    if isinstance(scanner.scorer, ModelScorer) and scanner.spread_chunks is not None:
 
         def scan_batch(batch: DataFrame, batch_id: int) -> None:
             results = scanner.scan_documents(batch, ["file"])
