@@ -588,6 +588,7 @@ SELECT name, CASE kind WHEN 5 THEN 'error' WHEN 6 THEN 'skipped' ELSE 'success'
   CAST(CASE WHEN kind IN (5, 6) THEN 0 ELSE k END AS INTEGER) AS chunks_processed,
   CASE kind WHEN 5 THEN 'Unable to decode file' WHEN 6 THEN 'Empty file' END AS why
 FROM files WHERE kind <> 7"""
+    out["token_spans"] = out["decode_spans"]
     out["scan_files"] = files
     out["scan_stream"] = files
     out["scan_flat"] = f"{files} AND kind <> 3"

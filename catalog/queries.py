@@ -44,6 +44,7 @@ from veilscan.operators.decoding import (
     label_name,
 )
 from veilscan.operators.gates import is_text_path
+from veilscan.operators.token_tables import merge_token_rows
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
 from veilscan.sources.files import decode_bytes
@@ -414,6 +415,22 @@ def q_decode_spans(spark, sf_dir):
     )
 
 
+def q_token_spans(spark, sf_dir):
+    """The spans of decode_spans, from a table of tokens."""
+    chunks = _chunk_rows(_dealt(_documents(spark, sf_dir)), "doc_id", "text", 1000)
+    scored = compute_once(chunks, tokens=PIECES.scorer.tokens(F.col("text")))
+    tokens = scored.select("doc_id", "chunk_idx", "offset", F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.select("doc_id", "chunk_idx", "offset", "place", "token.*")
+    spans = merge_token_rows(tokens, ["doc_id", "chunk_idx", "offset"], "place", PIECES.labels, PIECES.settings.threshold)
+    return spans.select(
+        "doc_id",
+        "label",
+        (F.col("start") + F.col("offset")).alias("span_start"),
+        (F.col("end") + F.col("offset")).alias("span_end"),
+        F.col("score").cast("string").cast("double").alias("score"),
+    )
+
+
 def q_dedupe_entities(spark, sf_dir):
     coarse = F.transform(
         "entities",
