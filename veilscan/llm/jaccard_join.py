@@ -96,31 +96,34 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id: the smallest id it is linked with."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    kinds = "doc_id long, n_shingles long, item binary, chunk int, data binary"
+    kinds = f"doc_id long, n_shingles long, item binary, {SKETCH_FIELDS}, chunk int, data binary"
+    words = pa.list_(pa.int64())
     arrow = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.binary()), ("chunk", pa.int32()), ("data", pa.binary())]
-    )
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.binary()), ("size", pa.int32()), ("sketch", words),
+         ("wide", words), ("chunk", pa.int32()), ("data", pa.binary())]
+    )
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         for batch in (part for whole in batches for part in K.slices(whole, "text")):
-            spots, sizes, high, low = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, K.U), np.zeros(batch.num_rows, K.U)
+            rows = batch.num_rows
+            sets, spots, sizes = [np.empty(0, K.U)] * rows, [], np.zeros(rows, np.int64)
+            high, low = np.zeros(rows, K.U), np.zeros(rows, K.U)
             for k, tokens in _sets(batch, n):
-                sizes[k] = len(tokens)
+                sets[k], sizes[k] = tokens, len(tokens)
                 high[k], low[k] = K.set_key(tokens)
                 spots.append((tokens % K.U(SKETCH)).astype(np.int64))
             if spots:
                 sketch += np.bincount(np.concatenate(spots), minlength=SKETCH)
-            rows = batch.num_rows
+            told = sketch_columns(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes), K.binary_keys(high, low), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                [batch["doc_id"], pa.array(sizes), K.binary_keys(high, low), told["size"], told["sketch"], told["wide"],
+                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 schema=arrow,
-            )
+            )
         for chunk, data in array_rows(sketch):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([chunk], pa.int32()), pa.array([data], pa.binary())],
-                schema=arrow,
-            )
+            parts = [pa.array([chunk], pa.int32()), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, field.type) for field in list(arrow)[:-2]], *parts], schema=arrow)
 
     both = write_table(docs.mapInArrow(survey, kinds), "survey")
     named = both.filter("chunk is null").select("doc_id", "n_shingles", "item")
@@ -148,31 +151,39 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
                 )
 
     shared = members(docs.select("text").mapInArrow(sign, "sig long, item binary"))
-    bloom = spark.sparkContext.broadcast(bloom_of(shared.select("item").distinct()))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in K.slices(whole, "text")):
-            found = {}
-            for _, tokens in _sets(batch, n):
-                key = K.set_key(tokens)
-                if key not in found and in_bloom(bloom.value, np.array([key[0]], K.U))[0]:
-                    found[key] = tokens
-            if found:
-                high, low = np.array(list(found), K.U).T
-                tokens = pa.array([x.tobytes() for x in found.values()], pa.binary())
-                yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": tokens} | sketch_columns(list(found.values())))
-
-    sets = docs.select("text").mapInArrow(gather, f"item binary, tokens binary, {SKETCH_FIELDS}")
-    sets = write_table(sets.dropDuplicates(["item"]), "sets")
+    sketches = both.filter("n_shingles > 0").select("item", "size", "sketch", "wide")
+    sketches = sketches.join(shared.select("item").distinct(), "item", "left_semi").dropDuplicates(["item"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = sets.select("item", "tokens")
+        """Only items of pairs that sketches leave have their sets made and shuffled."""
+        pairs = write_table(pairs.select("a", "b"), "tested")
+        items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
+        bloom = spark.sparkContext.broadcast(bloom_of(items))
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[tuple[int, int]] = set()  # items of this task; forgotten where there are very many
+            for batch in (part for whole in batches for part in K.slices(whole, "text")):
+                found = {}
+                for _, tokens in _sets(batch, n):
+                    key = K.set_key(tokens)
+                    if key not in done and in_bloom(bloom.value, np.array([key[0]], K.U))[0]:
+                        done.add(key)
+                        found[key] = tokens
+                if len(done) > 200_000:
+                    done.clear()
+                if found:
+                    high, low = np.array(list(found), K.U).T
+                    tokens = pa.array([x.tobytes() for x in found.values()], pa.binary())
+                    yield pa.record_batch({"item": K.binary_keys(high, low), "tokens": tokens})
+
+        sets = docs.select("text").mapInArrow(gather, "item binary, tokens binary")
+        own = write_table(sets.join(items, "item", "left_semi").dropDuplicates(["item"]), "sets")
         left, right = own.toDF("a", "x"), own.toDF("b", "y")
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
             lambda it: _verified(it, percent), "a binary, b binary"
         )
 
-    roots = linked_items(shared, percent, sets, verify)
+    roots = linked_items(shared, percent, write_table(sketches, "sketches"), verify)
     rows = named.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
