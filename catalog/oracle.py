@@ -461,6 +461,7 @@ FROM documents"""
     for name, table, key, text, size in (
         ("chunk_text", "documents", "doc_id", "text", 512),
         ("chunk_pages", "pages", "page_id", "html", 8000),
+        ("chunk_blocks", "pages", "page_id", "html", 256),
     ):
         out[name] = f"""WITH RECURSIVE {source_cte(table, key, text)},
 {chunk_ctes(size)}

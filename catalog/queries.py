@@ -44,6 +44,7 @@ from veilscan.operators.decoding import (
     label_name,
 )
 from veilscan.operators.gates import is_text_path
+from veilscan.operators.long_texts import chunk_long_texts
 from veilscan.operators.token_tables import merge_token_rows
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
@@ -331,6 +332,13 @@ def q_chunk_pages(spark, sf_dir):
     )
 
 
+def q_chunk_blocks(spark, sf_dir):
+    """The chunks of chunk_pages, of which longer pages are cut in blocks by many tasks."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"))
+    chunks = chunk_long_texts(pages.filter("body is not null"), ["page_id"], "body", 256, 512)
+    return _chunk_digest(chunks, "page_id")
+
+
 def q_chunk_count(spark, sf_dir):
     starts = chunk_starts(F.col("text"), 2000)
     return _documents(spark, sf_dir).select("doc_id", F.size(starts).alias("chunks"))
