@@ -2,7 +2,7 @@
 
 
 from catalog import queries
-from veilscan import Settings
+from veilscan import Scanner, Settings, scan_table
 from veilscan.sources.files import gate_files, list_directory
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -49,7 +49,14 @@ def test_counting_statuses_scans_nothing(spark):
     assert "regexp" not in text.lower() and "chunk" not in text
 
 
-def test_model_scan_collects_by_document(spark):
+def test_model_scan_stays_in_the_row(spark):
     text = plan(queries.q_model_scan(spark, SF_DIR))
-    assert "ObjectHashAggregate" in text or "SortAggregate" in text
-    assert "partial_collect_set" in text
+    assert "Aggregate" not in text and "ArrowEvalPython" in text
+    # Documents are dealt out once, before the scan.
+    assert sum("Exchange" in line and line.lstrip(" :+-").startswith("Exchange") for line in text.split("\n\n")[0].splitlines()) == 1
+
+
+def test_spread_chunks_are_collected_by_document(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    scanner = Scanner(labels=(), scorer=queries.toy_model(), spread_chunks=4)
+    assert "partial_collect_set" in plan(scan_table(documents, "text", "doc_id", scanner))
