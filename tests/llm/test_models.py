@@ -144,6 +144,38 @@ def test_search_in_many_cells(spark, monkeypatch):
     assert own[0] == [x[0] for x in want[0]]  # ties go to the smaller ids
 
 
+def searched(data, queries, k=20):
+    """Share of points verified by a search of one block, and recall."""
+    import pyarrow as pa
+
+    norm = float(np.linalg.norm(data, axis=1).max()) * (1 + 1e-12)
+    matrix = np.random.default_rng(1).standard_normal((data.shape[1] + 1, projected_search.DIMS))
+    space = projected_search.Space(matrix, norm, np.zeros((1, 1)), np.zeros((1, 1)))
+    visits = pa.table({"query_id": queries, "vector": data[queries].tolist(), "bound": np.full(len(queries), -np.inf)})
+    point = projected_search.chi_square_point(projected_search.CONFIDENCE)
+    found = list(projected_search._found(np.arange(len(data)), data, space, visits, k, point))
+    hits = 0
+    for q in queries:
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hits += len({v for own, v, *_ in found if own == q} & set(np.argsort(-scores, kind="stable")[:k].tolist()))
+    verified = {own: n for own, _, _, n in found}
+    return np.mean(list(verified.values())) / len(data), hits / k / len(queries)
+
+
+def test_search_stops_early_on_clusters():
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 64))
+    data = centres[r.integers(0, 40, 4000)] + 0.2 * r.standard_normal((4000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    share, recall = searched(data, list(range(0, 4000, 40)))
+    assert share < 0.1 and recall >= 0.9
+    data = r.standard_normal((4000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    share, recall = searched(data, list(range(0, 4000, 40)))
+    assert share < 0.8 and recall >= 0.9
+
+
 def test_search_of_few_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0]), (40, [3.0, 1.0]), (41, [1.0, 1.0])], "vec_id long, vector array<double>")
     used = projected_search.usable(df, "vec_id", "vector")

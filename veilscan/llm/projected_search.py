@@ -6,14 +6,18 @@ Gaussian (2-stable) projections of these give points; the squared distance of tw
 squared distance of their vectors is chi-square distributed with DIMS degrees of freedom.
 
 A kd-tree over a bounded sample of points splits space into cells. Every candidate goes to its cell, and a cell
-with many candidates, such as many copies of one vector, is split by hash into blocks of bounded size.
-Each block has a kd-tree of its own, whose leaves a query visits by rising distance. The candidates of
-a leaf are verified in double precision. A query stops where the next leaf's squared distance d^2
-satisfies chi2(d^2 / D^2) >= CONFIDENCE, with D the distance of the k-th nearest so far: a vector nearer than D
+with many candidates is split by hash into blocks of bounded size. Each block has a kd-tree of its own,
+whose leaves are passed over where the test below rules out their boxes. The points of the other leaves come one after
+the other by projected distance d, in steps that double, and are verified in double precision. A query stops at the first
+point with chi2(d^2 / D^2) >= CONFIDENCE, with D the distance of the k-th nearest so far: a vector nearer than D
 would have been met before with that probability. The cells are visited in two rounds: the query's own
 one, then those that the test with the D so found doesn't rule out.
 
-All rows are indexed; nothing caps candidates. Inputs: vectors that are null or zero, or hold null or
+What a query costs depends on how near its k-th neighbour is: on clusters a few leaves, on vectors
+without any structure a good part of all (README); queries times such vectors is then the work.
+
+All rows are indexed; nothing caps candidates. Of equal vectors only the k + 1 with the least ids can be
+among anyone's k nearest, so the others, such as a hot vector's copies, are left out before the search. Inputs: vectors that are null or zero, or hold null or
 non-finite components, or whose length isn't the most frequent one (ties: the longer), take no part.
 A vec_id names a row: of rows that repeat one, the smallest vector counts; null ids take no part. With fewer than k other rows, all are found.
 """
@@ -21,7 +25,7 @@ A vec_id names a row: of rows that repeat one, the smallest vector counts; null
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.store import write_table
 
-DIMS, CONFIDENCE = 8, 0.98
+DIMS, CONFIDENCE = 16, 0.9
 #: Vectors of a block, at most about; queries that meet them at a time; sampled points for the cells; cells.
 BLOCK, QUERIES, SAMPLE, CELLS = 4096, 2048, 20_000, 1024
 LEAF = 64
+#: Points verified in a query's first step; queries whose distances are worked out at a time.
+STEP, LOT = 64, 128
 
 
 def chi_square(x: float, m: int = DIMS) -> float:
@@ -121,41 +127,66 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, added one after the other: equal vectors have equal scores wherever they lie."""
+    return np.add.accumulate(vectors * query, axis=1)[:, -1] if len(vectors) else np.empty(0)
+
+
+def _incremental(
+    near: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, least: float, reach: Callable[[float], float]
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of the k best of a block, not under least, and how many points were verified.
+
+    near: squared projected distances; reach: the squared projected distance at which a search with a k-th best score stops.
+    """
+    best_ids, best = np.empty(0, np.int64), np.empty(0)
+    left, step, verified = np.flatnonzero(near < reach(least)), STEP, 0
+    slack = 1e-9 * max(1.0, float(np.abs(query).sum()) * float(np.abs(vectors).max(initial=0)))
+    while len(left):
+        if len(left) > step:
+            parts = np.argpartition(near[left], step - 1)
+            now, left = left[parts[:step]], left[parts[step:]]
+        else:
+            now, left = left, left[:0]
+        verified += len(now)
+        now = now[vectors[now] @ query >= least - slack]
+        scores = _products(vectors[now], query)
+        keep = (scores >= least) & (ids[now] != own)
+        best_ids, best = np.concatenate([best_ids, ids[now][keep]]), np.concatenate([best, scores[keep]])
+        order = np.lexsort((best_ids, -best))[:k]
+        best_ids, best = best_ids[order], best[order]
+        if len(best) == k:
+            least = max(least, float(best[-1]))
+        left, step = left[near[left] < reach(least)], 2 * step
+    return best_ids, best, verified
+
+
 def _found(batch_ids: np.ndarray, vectors: np.ndarray, space: Space, visits: pa.Table, k: int, point: float) -> Iterator[tuple]:
-    """(query_id, vec_id, score) of the nearest of a block, for each query that visits it."""
-    tree = build_tree(space.candidates(vectors), LEAF)
-    ids, columns = batch_ids[tree.order], np.ascontiguousarray(vectors[tree.order].T)
-    starts = np.concatenate([[0], tree.ends[:-1]])
+    """(query_id, vec_id, score, verified) of the nearest of a block, for each query that visits it."""
+    points = space.candidates(vectors)
+    tree = build_tree(points, LEAF)
+    ids, vectors, points = batch_ids[tree.order], np.ascontiguousarray(vectors[tree.order]), points[tree.order]
+    leaf = np.repeat(np.arange(len(tree.ends)), np.diff(tree.ends, prepend=0))
+    squares = (points * points).sum(1)
     queries = _matrix(visits["vector"].combine_chunks())
-    points = space.queries(queries)
-    scale = 2 * space.norm / np.linalg.norm(queries, axis=1)
-    bounds = visits["bound"].to_numpy()
-    for n, query_id in enumerate(visits["query_id"].to_pylist()):
-        near = tree.distances(points[n])
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        bound = bounds[n]  # the least score that is of use
-        for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] >= point * (2 * space.norm**2 - scale[n] * bound):
-                break
-            own = slice(starts[leaf], tree.ends[leaf])
-            # products are added one after the other, so that equal vectors have equal scores wherever they lie
-            scores = np.add.accumulate(columns[:, own] * queries[n][:, None], axis=0)[-1]
-            keep = (scores >= bound) & (ids[own] != query_id)
-            if not keep.any():
-                continue
-            best_ids, best = np.concatenate([best_ids, ids[own][keep]]), np.concatenate([best, scores[keep]])
-            if len(best) > k:
-                order = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[order], best[order]
-            if len(best) == k:
-                bound = max(bound, best.min())
-        for vec_id, score in zip(best_ids.tolist(), best.tolist(), strict=True):
-            yield query_id, vec_id, score
+    norms = np.linalg.norm(queries, axis=1)
+    bounds, query_ids = visits["bound"].to_numpy(), visits["query_id"].to_pylist()
+    for lot in range(0, len(queries), LOT):
+        at = space.queries(queries[lot : lot + LOT])
+        all_near = squares - 2 * (at @ points.T) + (at * at).sum(1)[:, None]
+        for n, near in enumerate(all_near, lot):
+            reach = lambda score, norm=norms[n]: point * 2 * space.norm * (space.norm * (1 + 1e-9) - score / norm)
+            if bounds[n] > -np.inf:
+                near = np.where((tree.distances(at[n - lot]) < reach(bounds[n]))[leaf], near, np.inf)
+            found = _incremental(near, ids, vectors, queries[n], query_ids[n], k, bounds[n], reach)
+            yield from ((query_ids[n], vec_id, score, found[2]) for vec_id, score in zip(found[0].tolist(), found[1].tolist(), strict=True))
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, confidence: float = CONFIDENCE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest candidates of each query; both: (vec_id, vector), see usable()."""
     spark = candidates.sparkSession
+    copies = Window.partitionBy("vector").orderBy("vec_id")
+    candidates = candidates.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
     candidates = write_table(candidates, "candidates")
     length = candidates.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     n = length.n if length else 1
@@ -204,7 +235,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, confidence:
             rows = []
             if left.num_rows and right.num_rows:
                 own = _matrix(left["vector"].combine_chunks())
-                rows = list(_found(left["vec_id"].to_numpy(), own, Space(*space.value), right, k, point))
+                found = _found(left["vec_id"].to_numpy(), own, Space(*space.value), right, k, point)
+                rows = [row[:3] for row in found]
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 3, schema, strict=True)], schema=schema)
 
         keys = ["cell", "part", "group"]
