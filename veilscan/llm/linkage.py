@@ -128,9 +128,9 @@ def _near(percent: int, bits: F.Column) -> F.Column:
     return sizes & (bits * (100 + percent) <= (F.col("m") + F.col("n")) * (100 - percent))
 
 
-def _bits() -> F.Column:
-    """Bits in which sketches v, w differ."""
-    bits = [F.bit_count(F.col("v")[k].bitwiseXOR(F.col("w")[k])) for k in range(SKETCH_WORDS)]
+def _bits(v: str = "v", w: str = "w", words: int = SKETCH_WORDS) -> F.Column:
+    """Bits in which sketches v, w of so many words differ."""
+    bits = [F.bit_count(F.col(v)[k].bitwiseXOR(F.col(w)[k])) for k in range(words)]
     return sum(bits[1:], bits[0])
 
 
@@ -171,7 +171,7 @@ def linked_items(shared: DataFrame, percent: int, sketches: DataFrame, verify: C
     led = led.join(narrow.toDF("a", "m", "v"), "a").join(narrow.toDF("b", "n", "w"), "b").filter(_near(percent, _bits()))
     pairs = write_table(led.select("a", "b"), "pairs")
     roots = components(verify(_closer(pairs, sketches, percent)))
-    left = _open_pairs(_rooted(shared, roots), narrow, percent).join(pairs, ["a", "b"], "left_anti")
+    left = _open_pairs(_rooted(shared, roots), sketches, percent).join(pairs, ["a", "b"], "left_anti")
     left = write_table(left, "pairs")
     links = write_table(verify(_closer(left, sketches, percent)), "links")
     x, y = roots.toDF("a", "x"), roots.toDF("b", "y")
@@ -187,12 +187,31 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
 
 
-def _open_pairs(rows: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with a < b under one signature whose roots differ and that could link."""
+#: Words of the sketches that go with the rows of signatures, beside those of SKETCH_WORDS.
+MIDDLE_WORDS = 16
+
+
+def _middle() -> F.Column:
+    """A wide sketch folded to MIDDLE_WORDS; null if it is shorter."""
+
+    def word(k: F.Column) -> F.Column:
+        along = F.sequence(k, F.size("wide") - 1, F.lit(MIDDLE_WORDS))
+        return F.aggregate(along, F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get("wide", j)))
+
+    return F.when(F.size("wide") >= MIDDLE_WORDS, F.transform(F.sequence(F.lit(0), F.lit(MIDDLE_WORDS - 1)), word))
+
+
+def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with a < b under one signature whose roots differ and that both sketches leave open.
+
+    Sketches are compared inside the join, in generated code, so that unlike items under one signature make no rows.
+    """
     low, high = F.min("root").alias("low"), F.max("root").alias("high")
     mixed = rows.groupBy("sig").agg(low, high).filter("low != high").select("sig")
-    left = rows.select("sig", "root", "item").join(mixed, "sig").join(narrow, "item")
-    left = write_table(left.select("sig", "root", "item", "size", "sketch"), "left")
-    x, y = left.toDF("sig", "r", "p", "m", "v"), left.toDF("sig", "s", "q", "n", "w")
-    pairs = x.join(y, "sig").filter((F.col("r") < F.col("s")) & _near(percent, _bits()))
+    told = sketches.select("item", "size", "sketch", _middle().alias("middle"))
+    left = rows.select("sig", "root", "item").join(mixed, "sig").join(told, "item")
+    left = write_table(left.select("sig", "root", "item", "size", "sketch", "middle"), "left")
+    x, y = left.toDF("sig", "r", "p", "m", "v", "v_middle"), left.toDF("sig", "s", "q", "n", "w", "w_middle")
+    middle = F.coalesce(_near(percent, _bits("v_middle", "w_middle", MIDDLE_WORDS)), F.lit(True))
+    pairs = x.join(y, "sig").filter((F.col("r") < F.col("s")) & _near(percent, _bits()) & middle)
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
