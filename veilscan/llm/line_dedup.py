@@ -166,6 +166,17 @@ def _cut(position: int, dropped: int):
     return run
 
 
+#: A key with more than this share of the rows is hot; there are fewer hot keys than its inverse.
+HOT = 4096
+
+
+def _spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Join facts, one row a key, to rows; weight: how many rows have the key. Facts of hot keys go to all tasks, HOT at most."""
+    hot = F.col(weight) * HOT > rows.count()
+    cold = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti").join(facts.filter(~hot), key)
+    return cold.unionByName(rows.join(F.broadcast(facts.filter(hot)), key))
+
+
 def dedup_lines(
     docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None
 ) -> DataFrame:
@@ -179,10 +190,15 @@ def dedup_lines(
     found = docs.select(*doc, text).mapInArrow(_occurrences, "id long, text_key long, line int, item long")
     found = write_table(found, "lines")
     roots = line_components(docs.select(text), percent)
-    named = found.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     place = F.struct("id", "text_key", "line")
-    kept = named.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = named.join(kept, "root").filter(~place.eqNullSafe(F.col("kept"))).select("id", "text_key", "line")
+    n = F.count(F.lit(1)).alias("n")
+    items = write_table(found.groupBy("item").agg(F.min(place).alias("first"), n), "items")
+    named = items.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    named = write_table(named, "named")
+    groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"), n.alias("items")).filter(F.col("all") > 1)
+    changed = _spread_join(named.select("item", "root", "n"), write_table(groups, "groups"), "root", "items")
+    changed = write_table(changed.select("item", "kept", "n"), "changed")
+    gone = _spread_join(found, changed, "item", "n").filter(~place.eqNullSafe(F.col("kept"))).select("id", "text_key", "line")
     gone = gone.distinct().groupBy("id", "text_key").agg(F.collect_list("line").alias("gone"))
     own = [fresh(x, names) for x in ("_id", "_text_key")]
     rows = docs.withColumn(own[0], doc[0]).withColumn(own[1], doc[1])
