@@ -514,6 +514,7 @@ SELECT id AS doc_id, CAST(ord AS INTEGER) AS ord, label, text, s AS span_start,
 SELECT id AS doc_id, label, count(*) AS found,
        count(*) FILTER (NOT ({false_positive('label', 'text', 'score')})) AS emitted
 FROM entities GROUP BY id, label"""
+    out["fp_rule_table"] = out["emit_test"]
 
     out["scan_documents"] = scan_query("documents", "doc_id", "text", "doc_id")
     out["scan_pages"] = scan_query("pages", "page_id", "html", "page_id")

@@ -45,6 +45,7 @@ from veilscan.operators.decoding import (
 )
 from veilscan.operators.gates import is_text_path
 from veilscan.operators.long_texts import chunk_long_texts
+from veilscan.operators.rule_tables import judge_by_table
 from veilscan.operators.token_tables import merge_token_rows
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
@@ -515,6 +516,18 @@ def q_emit_test(spark, sf_dir):
     )
 
 
+def q_fp_rule_table(spark, sf_dir):
+    """The candidates of emit_test, judged by rules that are joined from a table."""
+    base = {"overrides": {"threshold": 0.6}, "log": True}
+    kept = entity_rows(
+        _scan_documents(spark, sf_dir, Scanner.for_request(filters=False, **base)), ["doc_id"]
+    )
+    judged = judge_by_table(kept, fp.rule_table(spark), plan_rules=0)
+    return judged.groupBy("doc_id", "label").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(~F.col("rejected")).alias("emitted")
+    )
+
+
 # Scans
 
 

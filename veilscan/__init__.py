@@ -2,7 +2,9 @@
 
 from veilscan.functions.labels import label_packs, resolve_labels
 from veilscan.operators.model_scorer import ModelScorer, file_tokenizer, onnx_model
+from veilscan.operators.model_files import load_scorer
 from veilscan.operators.pattern_scorer import PatternRule, PatternScorer
+from veilscan.operators.rule_tables import judge_by_table
 from veilscan.plans.report import entity_rows, report, report_rows, summarise
 from veilscan.plans.scan import Scanner, scan_table
 from veilscan.settings import Settings, merge_settings
@@ -18,7 +20,9 @@ __all__ = [
     "Settings",
     "entity_rows",
     "file_tokenizer",
+    "judge_by_table",
     "label_packs",
+    "load_scorer",
     "merge_settings",
     "onnx_model",
     "report",
