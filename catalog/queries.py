@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -37,7 +38,6 @@ from veilscan.operators import false_positives as fp
 from veilscan.operators.chunking import chunk_starts, chunk_text
 from veilscan.operators.decoding import (
     best_label,
-    distinct_entities,
     is_scored,
     is_weak,
     label_allowed,
@@ -45,10 +45,12 @@ from veilscan.operators.decoding import (
 )
 from veilscan.operators.gates import is_text_path
 from veilscan.operators.long_texts import chunk_long_texts
+from veilscan.operators.row_scan import Merger, distinct_in_batches
 from veilscan.operators.rule_tables import judge_by_table
 from veilscan.operators.token_tables import merge_token_rows
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
+from veilscan.schemas import ENTITY
 from veilscan.sources.files import decode_bytes
 from veilscan.sources.listing import absolute, write_file
 from veilscan.sources.shared import shared_folder
@@ -97,6 +99,60 @@ class PieceScorer:
         pieces = F.regexp_extract_all(text, F.lit("[A-Za-z]{1,3}|[^A-Za-z]"), F.lit(0))
         return let(pieces, scored)
 
+    def finder(self, labels, settings):
+        """The spans of the same tokens, of many chunks at a time."""
+        vocabulary, labels, threshold = self.vocabulary, tuple(labels), settings.threshold
+
+        def make_finder():
+            import numpy as np
+
+            merge = Merger(vocabulary, labels, threshold)
+            letter = np.zeros(256, bool)
+            label = np.full(256, -1, np.int8)  # by the first byte of a piece
+            label[ord("!") : ord("~") + 1] = vocabulary.index("O")
+            for name, letters in ("person", "abcdefg"), ("email", "hijklmn"), ("date", "opqrst"):
+                label[[ord(c) for c in letters + letters.upper()]] = vocabulary.index(name)
+            label[0x80:] = vocabulary.index("person")
+            letter[[ord(c) for c in string.ascii_letters]] = True
+            # Letters beyond ASCII that are one of it in lower case.
+            lowered = [(c.encode(), label[ord(c.lower()[0])]) for c in "\u0130\u212a"]
+            scores = np.array([0.0, 0.2, 0.55, 0.9, 0.9], np.float32)
+
+            def find_some(data, begins):
+                """Spans of the chunks that begin there."""
+                own, begin = letter[data], begins[begins < len(data)]
+                fresh = own.copy()
+                fresh[1:] &= ~own[:-1]
+                fresh[begin] = own[begin]
+                place = np.arange(len(data), dtype=np.int32)
+                since = place - np.maximum.accumulate(np.where(fresh, place, 0))
+                start = np.flatnonzero(np.where(own, since % 3 == 0, (data & 0xC0) != 0x80))
+                size = np.diff(start, append=len(data))
+                first = data[start]
+                idx = label[first]
+                for code, kind in lowered:
+                    at = np.flatnonzero(first == code[0])
+                    same = size[at] == len(code)
+                    for k in range(1, len(code)):
+                        same &= data[start[at] + k] == code[k]
+                    idx[at[same]] = kind
+                count = np.diff(np.searchsorted(start, begins), append=len(start))
+                chunk = np.repeat(np.arange(len(begins)), count)
+                start = start - begins[chunk]
+                return merge([start, start + size, idx, scores[size]], chunk)
+
+            def find(data, bounds):
+                at, last = 0, len(bounds) - 1
+                while at < last:
+                    until = min(max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17)))), last)
+                    found = find_some(data[bounds[at] : bounds[until]], bounds[at:until] - bounds[at])
+                    yield [found[0] + at, *found[1:]]
+                    at = until
+
+            return find
+
+        return make_finder
+
 
 PIECES = Scanner(
     labels=("Person", "email"),
@@ -440,19 +496,30 @@ def q_token_spans(spark, sf_dir):
     )
 
 
+def _coarse(step):
+    """Entities whose offsets are moved out to multiples of a step."""
+
+    def coarse(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        entities = rows.flatten()
+        names = [field.name for field in entities.type]
+        columns = dict(zip(names, entities.flatten()))
+        for name, more in ("start", 0), ("end", step):
+            at = columns[name].to_numpy()
+            columns[name] = pa.array(at - np.fmod(at, step) + more, pa.int32())
+        offsets = rows.offsets.to_numpy()
+        moved = pa.StructArray.from_arrays([columns[name] for name in names], names=names)
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), moved)
+
+    return coarse
+
+
 def q_dedupe_entities(spark, sf_dir):
-    coarse = F.transform(
-        "entities",
-        lambda e: F.struct(
-            e.text.alias("text"),
-            e.label.alias("label"),
-            e.score.alias("score"),
-            (e.start - e.start % 64).alias("start"),
-            (e.end - e.end % 64 + F.lit(64)).alias("end"),
-        ),
-    )
-    results = _scan_documents(spark, sf_dir, PIECES).select("doc_id", coarse.alias("entities"))
-    distinct = compute_once(results, kept=distinct_entities(F.col("entities")))
+    results = _scan_documents(spark, sf_dir, PIECES).select("doc_id", "entities")
+    coarse = F.arrow_udf(_coarse(64), f"array<{ENTITY}>")(F.col("entities"))
+    distinct = compute_once(results, kept=distinct_in_batches(coarse))
     return entity_rows(distinct.select("doc_id", F.col("kept").alias("entities")), ["doc_id"]).select(
         "doc_id",
         "label",
