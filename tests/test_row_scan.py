@@ -90,7 +90,7 @@ def test_distinct_in_batches(spark):
     assert both[0] == both[1]
 
 
-@pytest.mark.parametrize("name", ["decode_spans", "dedupe_entities"])
+@pytest.mark.parametrize("name", ["decode_spans", "dedupe_entities", "top10_per_label"])
 def test_dense_tokens_stay_in_the_worker(spark, name):
     """No token or span is made by an interpreted expression, which cost some 1,000 CPU seconds on 0.1 GB."""
     text = plan(queries.all_queries()[name](spark, SF_DIR)).lower()
