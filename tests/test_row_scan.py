@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import queries
 from test_plans import SF_DIR, plan
-from veilscan import Scanner, Settings, scan_table
+from veilscan import ModelScorer, Scanner, Settings, scan_table
 from veilscan.operators import row_scan
 from veilscan.operators.chunking import chunk_starts
 from veilscan.operators.decoding import distinct_entities
@@ -90,7 +90,65 @@ def test_distinct_in_batches(spark):
     assert both[0] == both[1]
 
 
-@pytest.mark.parametrize("name", ["decode_spans", "dedupe_entities", "top10_per_label"])
+def odd_scorer(activation):
+    """Windows that overlap, with offsets that are out of order, inside code points, or beyond the text."""
+
+    def make_tokenizer():
+        def tokenize(text):
+            size = len(text.encode())
+            at = [(k, k + 2) for k in range(0, size + 2, 2)]
+            for begin in range(0, len(at), 5):
+                own = [*at[begin : begin + 7], (0, 0)]
+                yield [a % 9 for a, _ in own], [1] * (len(own) - 1) + [0], [a % 2 for a, _ in own], own
+
+        return lambda text: list(tokenize(text))
+
+    def make_model():
+        def run(ids, mask, types):
+            import numpy as np
+
+            assert ids.shape == mask.shape and (types is None or types.shape == ids.shape)
+            out = np.zeros((*ids.shape, 4), np.float32)
+            out[..., 0] = 0.4
+            out[..., 1] = (ids % 3) / 2
+            out[..., 2] = np.where(ids == 4, np.nan, (ids % 4) / 3)
+            return out
+
+        return run
+
+    return ModelScorer(make_tokenizer, make_model, ["O", "a", "b", "c"], activation)
+
+
+@pytest.mark.parametrize("activation", ["none", "softmax"])
+def test_models_in_batches_are_those_of_chunk_rows(spark, monkeypatch, activation):
+    """Windows as lists; entities that come twice are folded."""
+    monkeypatch.setattr(row_scan, "PART_BYTES", 300)
+    df = spark.createDataFrame(list(enumerate(some_texts())), "id int, t string").repartition(2)
+    scorer = odd_scorer(activation)
+    both = [
+        rows_of(scan_table(df, "t", "id", Scanner(labels=(), settings=Settings(max_chunk_size=40, threshold=0.2, batch_size=3), scorer=scorer, filters=False, spread_chunks=n)))
+        for n in (3, None)
+    ]
+    assert both[0] == both[1] and sum(row[3] for row in both[0]) > 100
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    tokenize = queries.toy_model().make_tokenizer()
+    texts = ["", "abcd efg\n" * 60, "é中😀", "", "x", "A1b2" * 100, ""]
+    ids, mask, types, spans, lengths, owner = tokenize.many(texts)
+    at = 0
+    found = [[] for _ in texts]
+    for n, k in zip(lengths, owner):
+        found[k].append((ids[at : at + n].tolist(), spans[at : at + n].tolist()))
+        at += n
+    assert found == [[(w[0].tolist(), w[3].tolist()) for w in tokenize(text)] for text in texts]
+    assert at == len(ids) == len(mask) == len(types) and max(lengths) == 128
+    pieces = found[1][0]
+    assert pieces[0][:4] == [21 + ord("a") % 13, 7 + ord("d") % 13, 7 + ord(" ") % 13, 21 + ord("e") % 13]
+    assert pieces[1][:3] == [[0, 3], [3, 4], [4, 5]]
+
+
+@pytest.mark.parametrize("name", ["decode_spans", "dedupe_entities", "top10_per_label", "model_scan"])
 def test_dense_tokens_stay_in_the_worker(spark, name):
     """No token or span is made by an interpreted expression, which cost some 1,000 CPU seconds on 0.1 GB."""
     text = plan(queries.all_queries()[name](spark, SF_DIR)).lower()
