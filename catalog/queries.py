@@ -45,12 +45,11 @@ from veilscan.operators.decoding import (
 )
 from veilscan.operators.gates import is_text_path
 from veilscan.operators.long_texts import chunk_long_texts
-from veilscan.operators.row_scan import Merger, distinct_in_batches
+from veilscan.operators.row_scan import Merger, distinct_rows
 from veilscan.operators.rule_tables import judge_by_table
 from veilscan.operators.token_tables import merge_token_rows
 from veilscan.plans.report import confidence_band, count_labels, count_statuses
 from veilscan.plans.scan import gate_table
-from veilscan.schemas import ENTITY
 from veilscan.sources.files import decode_bytes
 from veilscan.sources.listing import absolute, write_file
 from veilscan.sources.shared import shared_folder
@@ -516,31 +515,17 @@ def q_token_spans(spark, sf_dir):
     )
 
 
-def _coarse(step):
-    """Entities whose offsets are moved out to multiples of a step."""
-
-    def coarse(rows):
-        import numpy as np
-        import pyarrow as pa
-
-        entities = rows.flatten()
-        names = [field.name for field in entities.type]
-        columns = dict(zip(names, entities.flatten()))
-        for name, more in ("start", 0), ("end", step):
-            at = columns[name].to_numpy()
-            columns[name] = pa.array(at - np.fmod(at, step) + more, pa.int32())
-        offsets = rows.offsets.to_numpy()
-        moved = pa.StructArray.from_arrays([columns[name] for name in names], names=names)
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), moved)
-
-    return coarse
-
-
 def q_dedupe_entities(spark, sf_dir):
-    results = _scan_documents(spark, sf_dir, PIECES).select("doc_id", "entities")
-    coarse = F.arrow_udf(_coarse(64), f"array<{ENTITY}>")(F.col("entities"))
-    distinct = compute_once(results, kept=distinct_in_batches(coarse))
-    return entity_rows(distinct.select("doc_id", F.col("kept").alias("entities")), ["doc_id"]).select(
+    start, end = F.col("start"), F.col("end")
+    coarse = entity_rows(_scan_documents(spark, sf_dir, PIECES), ["doc_id"]).select(
+        "doc_id",
+        "ord",
+        "label",
+        (start - start % 64).alias("start"),
+        (end - end % 64 + F.lit(64)).alias("end"),
+        "text",
+    )
+    return distinct_rows(coarse).select(
         "doc_id",
         "label",
         F.col("start").alias("span_start"),
